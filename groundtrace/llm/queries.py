@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from groundtrace.llm import decontamination
+from groundtrace.llm import decontamination, language, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op3_language": language.op3_language,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL = {
