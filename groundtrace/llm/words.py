@@ -73,7 +73,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 IS_WORD, VALUES, _ = _tables()
 
 
-def batch_words(texts: pa.Array) -> Words:
+def batch_words(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> Words:
+    """The words of a batch; ``hash`` has a further column for each prefix length in bytes, 0 where the word is no longer than that."""
     data, rows = buffers(texts)
     is_word = IS_WORD[data]
     before = np.empty(len(data), bool)
@@ -88,7 +89,7 @@ def batch_words(texts: pa.Array) -> Words:
     after[:-1] = is_word[1:] & ~begins[1:]
     end = np.flatnonzero(is_word & ~after) + 1
     first = np.searchsorted(start, rows)
-    hashes = np.empty(len(start), U)
+    hashes = np.empty((len(start), 1 + len(prefixes)), U)
     with np.errstate(over="ignore"):
         low = 0
         while low < len(start):
@@ -97,10 +98,14 @@ def batch_words(texts: pa.Array) -> Words:
             at = np.cumsum(size) - size
             inside = np.arange(int(size.sum())) - np.repeat(at, size)
             chars = data[start[low] : end[high - 1]][is_word[start[low] : end[high - 1]]]
-            hashes[low:high] = np.add.reduceat(VALUES[chars] * powers(0x9E3779B97F4A7C15, int(size.max()))[inside], at)
+            values = VALUES[chars] * powers(0x9E3779B97F4A7C15, int(size.max()))[inside]
+            hashes[low:high, 0] = np.add.reduceat(values, at)
+            for column, length in enumerate(prefixes, 1):
+                part = np.add.reduceat(np.where(inside < length, values, U(0)), at)
+                hashes[low:high, column] = np.where(size > length, part + U(length), U(0))
             low = high
         hashes = mix(hashes)
-    return Words(data, rows, start, end, hashes, first)
+    return Words(data, rows, start, end, hashes if prefixes else hashes[:, 0], first)
 
 
 def per_row(values: np.ndarray, first: np.ndarray, ufunc: np.ufunc, empty) -> np.ndarray:
