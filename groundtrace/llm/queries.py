@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from groundtrace.llm import decontamination, language, token_counts, toxicity
+from groundtrace.llm import decontamination, language, line_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op3_language": language.op3_language,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
 }
