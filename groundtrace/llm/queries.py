@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from groundtrace.llm import decontamination, language, line_dedup, token_counts, toxicity
+from groundtrace.llm import decontamination, language, line_dedup, mixing, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op3_language": language.op3_language,
+    "op4_mixing": mixing.op4_mixing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_counts": token_counts.op10_token_counts,
@@ -14,5 +15,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
+    "op4_mixing": mixing.op4_mixing,
+    "op4_mixing": mixing.OP4_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
 }
