@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from groundtrace.llm import decontamination, language, line_dedup, mixing, token_counts, toxicity
+from groundtrace.llm import decontamination, language, line_dedup, mixing, near_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_language": language.op3_language,
     "op4_mixing": mixing.op4_mixing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
