@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm.words import Words, batch_words
+from groundtrace.llm.words import Words, batch_words, slices
 
 #: Words of an item that count as an occurrence.
 WINDOW = 10
@@ -215,6 +215,9 @@ def contamination(spark: SparkSession, blocks: list[Automaton], text: Column | s
     shared = _shared(spark, blocks)
 
     def report(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([report_part(part) for part in slices(texts)])
+
+    def report_part(texts: pa.Array) -> pa.Array:
         words = batch_words(texts)
         found = _found(shared, words)
         n = np.diff(words.first)
@@ -245,6 +248,9 @@ def cleaned(spark: SparkSession, blocks: list[Automaton], text: Column | str, co
         return b"\n".join([*out, raw[last:]])
 
     def clean(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([clean_part(part) for part in slices(texts)])
+
+    def clean_part(texts: pa.Array) -> pa.Array:
         words = batch_words(texts)
         found = _found(shared, words)
         if not found:

@@ -8,7 +8,7 @@ entries make a band; documents that share a band are candidates.
 
 Two candidates are similar if an alignment of their shingles matches m of them with m / (a + b - m) at
 least ``SIMILARITY``: the Jaccard similarity of the shingles that agree in order. That leaves at most
-(a + b) / 9 shingles unmatched, so the alignment walks a band of that many diagonals and gives up outside.
+(a + b) / 9 shingles unmatched, so the alignment is confined to a band of that many diagonals.
 
 Copies of one word sequence are folded into one representative first. In a bucket of a band every
 representative is compared with the least one; then, after the links found so far are joined to
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundtrace.llm.scratch import discard, materialise
-from groundtrace.llm.words import U, batch_words, constants, mix, per_row, powers
+from groundtrace.llm.words import U, batch_words, constants, cuts, mix, per_row, powers, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,6 +37,8 @@ KEPT, ROWS, BANDS = 2, 2, 12
 SKETCHES = ROWS * BANDS
 #: Words whose sketches are computed at a time. Bounds the temporary arrays, not the texts.
 BLOCK = 1 << 18
+#: Shingles that a text holds more often than this are aligned by one mask of all their places.
+OFTEN = 256
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -126,39 +128,48 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return count, exact, other, bands
 
 
-def _run(a: np.ndarray, b: np.ndarray, x: int, y: int) -> int:
-    """Length of the common run from a[x] and b[y] on."""
-    length, step, most = 0, 8, min(len(a) - x, len(b) - y)
-    while length < most:
-        step = min(step, most - length)
-        same = a[x + length : x + length + step] == b[y + length : y + length + step]
-        if not same.all():
-            return length + int(np.argmin(same))
-        length += step
-        step *= 4
-    return length
-
-
 def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Matched elements of the best alignment (longest common subsequence) with at most ``most`` unmatched; -1 if there is none.
+    """Matched elements of the best alignment (longest common subsequence) within ``most`` diagonals of the main one.
 
-    Greedy walk over the diagonals -most..most: for d unmatched elements the farthest point on each.
+    That is exact for an alignment that leaves at most ``most`` elements unmatched. A row of the table is one
+    integer, a bit for each diagonal of the band, 0 where the row's value rises there.
     """
+    short = min(len(a), len(b))
     if abs(len(a) - len(b)) > most:
         return -1
-    reach = {1: 0}
-    for d in range(most + 1):
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            if x > len(a) or x - k > len(b):
-                reach[k] = min(x, len(a), len(b) + k)
-                continue
-            x += _run(a, b, x, x - k)
-            reach[k] = x
-            if x >= len(a) and x - k >= len(b):
-                return (len(a) + len(b) - d) // 2
-    return -1
+    same = a[:short] == b[:short]
+    head = short if same.all() else int(np.argmin(same))
+    a, b, short = a[head:], b[head:], short - head
+    same = a[len(a) - short :][::-1] == b[len(b) - short :][::-1]
+    tail = short if same.all() else int(np.argmin(same))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not len(a) or not len(b):
+        return head + tail
+    order = np.argsort(a, kind="stable")
+    values, starts = np.unique(a[order], return_index=True)
+    places = dict(zip(values.tolist(), np.split(order, starts[1:]), strict=True))
+    masks = {v: int.from_bytes(np.packbits(a == v, bitorder="little").tobytes(), "little") for v, at in places.items() if len(at) > OFTEN}
+    places = {v: at.tolist() for v, at in places.items() if v not in masks}
+    wide = 2 * most + 1
+    window = (1 << wide) - 1
+    row, rises = window, 0
+    for j, value in enumerate(b.tolist()):  # bit k of the row stands for a[j - most + k]
+        low = j - most
+        if j:
+            rises += not row & 1
+            row = (row >> 1) | (1 << (wide - 1))
+        if value in masks:
+            hits = masks[value] >> low if low > 0 else masks[value] << -low
+            hits &= window
+        else:
+            hits = 0
+            for at in places.get(value, ()):
+                if 0 <= at - low < wide:
+                    hits |= 1 << (at - low)
+        if hits:
+            hits &= row
+            row = ((row + hits) | (row - hits)) & window
+    return head + tail + rises + wide - row.bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -178,7 +189,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n, exact, other, bands) of each document that has words."""
 
     def sign(texts: pa.Array) -> pa.Array:
-        count, exact, other, bands = signatures(texts)
+        parts = [signatures(part) for part in slices(texts)]
+        count, exact, other, bands = (np.concatenate(column) for column in zip(*parts, strict=True))
         offsets = pa.array(np.arange(0, len(count) * BANDS + 1, BANDS, dtype=np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))
         return pa.StructArray.from_arrays([pa.array(count), pa.array(exact.view(np.int64)), pa.array(other.view(np.int64)), lists], ["n", "exact", "other", "bands"])
@@ -192,9 +204,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def check(left: pa.Array, right: pa.Array) -> pa.Array:
         out = np.zeros(len(left), bool)
-        size = np.maximum(np.diff(np.cumsum([0, *(len(t.as_py()) for t in right)])), 1)
-        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // (1 << 22))) + 1).tolist(), len(left)]
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):  # a bounded part of the batch at a time
+        for low, high in cuts(left, right):  # a bounded part of the batch at a time
             sides = []
             for texts in (left[low:high], right[low:high]):
                 words = batch_words(texts)

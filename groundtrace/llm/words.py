@@ -61,6 +61,22 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+#: Bytes of texts that an operator takes from a batch at a time. Bounds the temporary arrays; a longer text is taken alone.
+SLICE = 1 << 22
+
+
+def cuts(*columns: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of rows whose texts in all columns together have about ``SLICE`` bytes at most; one range for an empty batch."""
+    total = sum((np.diff(buffers(column)[1]) for column in columns), np.zeros(len(columns[0]), np.int64))
+    part = np.cumsum(total) // SLICE
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(total)]
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def slices(texts: pa.Array) -> list[pa.Array]:
+    return [texts[low:high] for low, high in cuts(texts)]
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = np.arange(256)
     upper = (code >= 0x41) & (code <= 0x5A)
