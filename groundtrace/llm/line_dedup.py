@@ -95,7 +95,8 @@ def line_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = _runs(_runs(rows, levels, min_words, False), levels, min_words, True)
     rows = rows.select("doc_id", "tie", F.array_sort(F.concat("from_runs", "to_runs")).alias("runs"))
     again = F.transform("runs", lambda x, i: F.struct(x["name"].alias("name"), x["low"].alias("low"), x["high"].alias("high"), (F.get("runs.name", i - 1) == x["name"]).alias("again")))
-    return rows.select("doc_id", "tie", F.inline(again)).withColumn("again", F.coalesce("again", F.lit(False)))
+    # outer: else the planner infers a filter on the array's size and repeats all that makes the array in it
+    return rows.select("doc_id", "tie", F.inline_outer(again)).filter("name IS NOT NULL").withColumn("again", F.coalesce("again", F.lit(False)))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

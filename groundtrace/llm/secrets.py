@@ -38,7 +38,7 @@ def findings(docs: DataFrame) -> DataFrame:
     """(doc_id, word_no, word, before, before2, after, next): the candidates with the words around them, as they stand in the text."""
     words = docs.select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]", " "), " ").alias("words"))
     long = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (F.length(x["w"]) >= LEAST_LENGTH) & x["w"].rlike("[0-9]"))
-    at = words.select("doc_id", "words", F.explode(long).alias("x"))
+    at = words.select("doc_id", "words", F.explode_outer(long).alias("x")).filter("x IS NOT NULL")
     bare = F.regexp_replace("x.w", "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
     around = [F.coalesce(F.get("words", F.col("x.i") + d), F.lit("")).alias(n) for d, n in ((-1, "before"), (-2, "before2"), (1, "after"))]
     return at.select("doc_id", F.col("x.i").cast("long").alias("word_no"), bare.alias("word"), F.col("x.w").alias("raw"), *around).filter((F.length("word") >= LEAST_LENGTH) & F.col("word").rlike("[0-9]"))
