@@ -1,0 +1 @@
+"""Extension: the batch stages over a stream of samples."""
