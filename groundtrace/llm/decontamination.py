@@ -267,7 +267,7 @@ def cleaned(spark: SparkSession, blocks: list[Automaton], text: Column | str, co
                 flags = _found(shared, part).get(0, (None, None))[0]
         return pa.array(out, pa.string())
 
-    return F.arrow_udf(clean, "string")(text)
+    return F.arrow_udf(clean, "string").asNondeterministic()(text)  # so that a filter on it doesn't compute it again
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -213,7 +213,9 @@ def _signed(docs: DataFrame, level: int = 0) -> DataFrame:
             plain.append(pa.ListArray.from_arrays(offsets, pa.array(values.ravel().view(np.int64))))
         return pa.StructArray.from_arrays(plain, ["n", "exact", "other", "bands", "bits"])
 
-    signed = docs.select("doc_id", F.arrow_udf(sign, "struct<n: bigint, exact: bigint, other: bigint, bands: array<bigint>, bits: array<bigint>>")("text").alias("s"))
+    kind = "struct<n: bigint, exact: bigint, other: bigint, bands: array<bigint>, bits: array<bigint>>"
+    once = F.arrow_udf(sign, kind).asNondeterministic()  # else a filter on its result computes it again, below joins
+    signed = docs.select("doc_id", once("text").alias("s"))
     return signed.select("doc_id", "s.*").filter("doc_id IS NOT NULL AND n > 0")
 
 
@@ -301,6 +303,11 @@ def _rest(placed: DataFrame) -> DataFrame:
     return one.join(two, "bucket").filter(apart & _fits("n_a", "n_b") & like).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
+def _texts(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The texts of all documents in ``entries``: the only time that the corpus's texts are shuffled."""
+    return materialise(docs.join(entries.select("doc_id").distinct(), "doc_id").filter("text IS NOT NULL").dropDuplicates(["doc_id", "text"]), "texts")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the least doc_id of its near-duplicate class, for each doc_id."""
     docs = docs.select("doc_id", "text")
@@ -309,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialise(signed.select("doc_id", "exact", "other").distinct().join(exact, ["exact", "other"]).select("doc_id", "rep", "exact", "other"), "members")
     reps = members.filter("doc_id = rep").select("doc_id", "exact", "other").join(signed, ["doc_id", "exact", "other"])
     reps = reps.select("doc_id", "n", "bands", F.lit(None).cast("array<bigint>").alias("bits"))
-    sized, level = [], 0
+    sized, level, texts = [], 0, None
     while True:
         entries = reps.select("doc_id", "n", "bits", F.explode_outer(F.array_distinct("bands")).alias("bucket")).distinct()
         buckets = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
@@ -318,12 +325,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sized.append(own if most is None else own.filter(F.col("size") <= most))
         if most is None or crowded.isEmpty():
             break
+        if texts is None:
+            texts = _texts(docs, own)
         level += 1
-        reps = _signed(docs.join(crowded, "doc_id"), level).select("doc_id", "n", "bands", "bits")
+        reps = _signed(texts.join(crowded, "doc_id"), level).select("doc_id", "n", "bands", "bits")
     shared = reduce(DataFrame.unionByName, sized)
     scores = shared.groupBy(F.col("doc_id").alias("of")).agg(F.sum("size").alias("score"))
     shared = materialise(shared.drop("size").join(scores, F.col("doc_id") == F.col("of")).drop("of"), "shared")
-    wanted = materialise(docs.join(scores.select(F.col("of").alias("doc_id")), "doc_id").filter("text IS NOT NULL").dropDuplicates(["doc_id", "text"]), "texts")
+    wanted = _texts(docs, shared) if texts is None else texts
     tried = found = None
     placed = shared.withColumn("root", F.col("doc_id"))
     for turn in range(TURNS + 1):
