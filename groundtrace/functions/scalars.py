@@ -13,12 +13,13 @@ SPEED_BINS = (1.5, 2.5, 3.5, 4.5)
 
 
 def number_code(text: Column) -> Column:
-    """Null where a text is a finite number that a double can hold, else the code of what is wrong."""
-    value = F.try_cast(text, "double") if hasattr(F, "try_cast") else text.try_cast("double")
+    """Null where a text is null or a finite number that a double can hold, else the code of what is wrong."""
+    value = text.try_cast("double")
     digits = F.regexp_replace(F.lower(text), "e.*$", "").rlike("[1-9]")
     named = F.lower(F.trim(text)).isin("nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
     return (
-        F.when(named, "NONFINITE_NUMERIC_VALUE")
+        F.when(text.isNull(), None)
+        .when(named, "NONFINITE_NUMERIC_VALUE")
         .when(value.isNull() | text.rlike("[dDfF]\\s*$"), "INVALID_NUMERIC_VALUE")
         .when(F.isnan(value) | (F.abs(value) == float("inf")), "NONFINITE_NUMERIC_VALUE")
         .when((value == 0) & digits, "NUMERIC_PRECISION_UNREPRESENTABLE")

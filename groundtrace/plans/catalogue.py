@@ -268,13 +268,13 @@ def q33_assessment_rules_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.relations.agg(F.count("*").alias("assessments"), F.count_if(F.col("relation").isNull()).alias("without")).crossJoin(broken)
 
 
-@_query("""SELECT track_id, target_id, ordinal, CAST(fragment_ordinal AS BIGINT) AS fragment_ordinal, status, round(CASE WHEN status = 'valid' THEN dt END, 6) AS duration_s,
+@_query("""SELECT track_id, target_id, ordinal, CAST(fragment_ordinal AS BIGINT) AS fragment_ordinal, status, CASE WHEN status = 'valid' THEN dt END AS duration_s,
     round(CASE WHEN status = 'valid' THEN metres END, 3) AS distance_m, round(CASE WHEN status = 'valid' THEN metres / dt END, 6) AS speed_mps,
     CASE WHEN f0 = 0 AND f1 = 1 THEN 'observed_parent_endpoints' ELSE 'proportional_parent_edge_allocation' END AS duration_basis, screening FROM metrics WHERE NOT stationary""")
 def q34_metric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _long(assessment(spark, sf_dir).metrics.filter("NOT stationary"), "ordinal", "fragment_ordinal")
-    numbers = [F.round(n, d).alias(n) for n, d in (("duration_s", 6), ("distance_m", 3), ("speed_mps", 6))]
-    return rows.select("track_id", "target_id", "ordinal", "fragment_ordinal", "status", *numbers, "duration_basis", "screening")
+    numbers = [F.round(n, d).alias(n) for n, d in (("distance_m", 3), ("speed_mps", 6))]
+    return rows.select("track_id", "target_id", "ordinal", "fragment_ordinal", "status", "duration_s", *numbers, "duration_basis", "screening")
 
 
 @_query("""SELECT track_id, target_id, count(*) FILTER (NOT stationary AND status = 'valid') AS valid, count(*) FILTER (NOT stationary AND status <> 'valid') AS unavailable,
