@@ -385,7 +385,7 @@ def q48_map_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gpx_text() -> F.Column:
     """A track point of an observation."""
-    return F.format_string('<trkpt lat="%s" lon="%s">%s</trkpt>', F.col("lat").cast("string"), F.col("lon").cast("string"), F.coalesce(F.format_string("<time>%s</time>", "ts_text"), F.lit("")))
+    return F.format_string('<trkpt lat="%s" lon="%s">%s</trkpt>', F.col("lat").cast("string"), F.col("lon").cast("string"), F.coalesce(F.concat(F.lit("<time>"), "ts_text", F.lit("</time>")), F.lit("")))
 
 
 @_query("SELECT track_id, CAST(part_index AS BIGINT) AS part_index, observation_index, lon, lat, us FROM obs")
