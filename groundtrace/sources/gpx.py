@@ -32,7 +32,7 @@ def _utc(text: Column) -> tuple[Column, Column]:
 
 def parse_gpx(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(failures: source_id, code; samples; parts: track_id, part_ord) of (source_id, content)."""
-    text = F.decode(F.col("content"), "UTF-8")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     rows = files.select("source_id", _bare(text).alias("text"))
     rows = rows.withColumn("g", F.from_xml("text", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     root = F.regexp_extract("text", r"(?s)^\s*(?:<\?xml.*?\?>)?\s*<(\w+)[\s>]", 1)
