@@ -37,17 +37,18 @@ from groundtrace.llm.words import U, batch_words, constants, cuts, mix, per_row,
 SHINGLE = 5
 SIMILARITY = 0.8
 KEPT = 2
-#: (entries in a band, bands, members up to which a bucket is searched). Two texts of similarity 0.8 agree in an
-#: entry with a chance of 0.64, so 12 bands of 2 miss 0.2 % of them and 60 bands of 5 miss 0.1 %; two texts of
-#: similarity 0.4, such as share one passage, meet in the latter in 0.6 % of cases. The last level has no bound.
-LEVELS = ((2, 12, 64), (5, 60, None))
+#: (entries in a band, bands, hash functions, members up to which a bucket is searched). Two texts of similarity 0.8
+#: agree in an entry with a chance of 0.64 (0.6 where they are very short), so 12 bands of 2 miss 0.2 % of them and
+#: 36 bands of 4 miss 0.1 %; two texts of similarity 0.4, such as share one passage, meet in the latter in 2 % of
+#: cases. The last level has no bound.
+LEVELS = ((2, 12, 24, 64), (4, 36, 600, None))
 #: Words whose sketches are computed at a time. Bounds the temporary arrays, not the texts.
 BLOCK = 1 << 18
 #: Shingles that a text holds more often than this are aligned by one mask of all their places.
 OFTEN = 256
-#: One bit of each entry is kept at the later levels, ``BITS`` in an integer. Of texts of similarity 0.8 they agree in
-#: 82 %, with a deviation of 2.2 %; those under the mean less three deviations are not compared.
-BITS, AGREEING = 60, 0.754
+#: One bit of each entry is kept at the later level, ``BITS`` in an integer. Of texts of similarity 0.8 they agree in
+#: 80 % at least, with a deviation of 1.6 %; those under that less three deviations are not compared.
+BITS, AGREEING = 60, 0.751
 #: Rounds in which the members of a bucket are compared with pivots, and random pivots of each round after the first.
 TURNS, PIVOTS = 2, 4
 
@@ -84,7 +85,7 @@ def labelled(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def sketches(keys: np.ndarray, first: np.ndarray, level: int = 0) -> np.ndarray:
     """Order MinHash: a row for each text (all of them have shingles), a column for each hash function."""
     n = len(first) - 1
-    functions = LEVELS[level][0] * LEVELS[level][1]
+    functions = LEVELS[level][2]
     out = np.empty((n, functions), U)
     size = np.diff(first)
     row = np.repeat(np.arange(n), size)
@@ -112,11 +113,11 @@ def sketches(keys: np.ndarray, first: np.ndarray, level: int = 0) -> np.ndarray:
 
 def signatures(texts: pa.Array, level: int = 0) -> tuple[np.ndarray, ...]:
     """Of each text: its number of shingles, 128 bits of its word sequence, its band keys and a bit of each entry (zeros where it has no words)."""
-    rows, width, _ = LEVELS[level]
+    rows, width, functions, _ = LEVELS[level]
     words = batch_words(texts)
     n = len(words.first) - 1
     count, exact, other = np.zeros(n, np.int64), np.zeros(n, U), np.zeros(n, U)
-    bands, bits = np.zeros((n, width), U), np.zeros((n, -(-rows * width // BITS)), U)
+    bands, bits = np.zeros((n, width), U), np.zeros((n, -(-functions // BITS)), U)
     low = 0
     while low < n:
         high = max(low + 1, int(np.searchsorted(words.first, words.first[low] + BLOCK, "right")) - 1)
@@ -135,7 +136,7 @@ def signatures(texts: pa.Array, level: int = 0) -> tuple[np.ndarray, ...]:
                 entries = sketches(labelled(values, places), places, level)
                 keys = np.zeros((len(some), width), U)
                 for r in range(rows):
-                    keys = mix(keys + entries[:, r::rows])
+                    keys = mix(keys + entries[:, r : rows * width : rows])
                 for k in range(bits.shape[1]):
                     part = (entries[:, k * BITS : (k + 1) * BITS] >> U(40)) & U(1)
                     bits[low + some, k] = (part << np.arange(part.shape[1], dtype=U)).sum(axis=1, dtype=U)
@@ -296,7 +297,7 @@ def _rest(placed: DataFrame) -> DataFrame:
     open_ = placed.join(main, "bucket")
     one = open_.filter("root <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("bits").alias("bits_a"))
     two = open_.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("bits").alias("bits_b"), "main")
-    entries = LEVELS[-1][0] * LEVELS[-1][1]
+    entries = LEVELS[-1][2]
     unlike = sum(F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(-(-entries // BITS)))
     like = F.coalesce(unlike <= (1 - AGREEING) * entries, F.lit(True))
     apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") > F.col("b")))
@@ -320,7 +321,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while True:
         entries = reps.select("doc_id", "n", "bits", F.explode_outer(F.array_distinct("bands")).alias("bucket")).distinct()
         buckets = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-        own, most = materialise(entries.join(buckets, "bucket"), "sized"), LEVELS[level][2]
+        own, most = materialise(entries.join(buckets, "bucket"), "sized"), LEVELS[level][3]
         crowded = None if most is None else own.filter(F.col("size") > most).select("doc_id").distinct()
         sized.append(own if most is None else own.filter(F.col("size") <= most))
         if most is None or crowded.isEmpty():
