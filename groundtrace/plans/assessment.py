@@ -1,6 +1,6 @@
 """The whole assessment of tracks against targets, one DataFrame for each of its tables.
 
-Nothing runs before an action; ``persist_edges`` keeps the table that most of the others read.
+Nothing runs before an action; ``persist`` keeps the tables that others read more than once.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ class Assessment:
         """Edges with their decision and usable run."""
         return quality.with_runs(quality.decisions(quality.edges(self.observations), self.policy))
 
-    def persist_edges(self) -> Assessment:
-        self.decided = self.decided.persist()
+    def persist(self, *names: str) -> Assessment:
+        """Keeps edges and, by default, fragments and placed segment pieces once they are computed (memory, then disk)."""
+        for name in names or ("decided", "fragments", "placed"):
+            setattr(self, name, getattr(self, name).persist())
         return self
 
     @cached_property

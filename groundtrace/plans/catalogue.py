@@ -263,7 +263,7 @@ def q32_uncertainties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT count(*) AS assessments, count(*) FILTER (relation IS NULL) AS without, CAST(0 AS BIGINT) AS contradictions FROM relations")
 def q33_assessment_rules_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = assessment(spark, sf_dir).persist_edges()
+    a = assessment(spark, sf_dir).persist()
     broken = relation.assessment_rules(a.relations, a.uncertainties, a.segments).agg(F.count("*").alias("contradictions"))
     return a.relations.agg(F.count("*").alias("assessments"), F.count_if(F.col("relation").isNull()).alias("without")).crossJoin(broken)
 
@@ -315,7 +315,7 @@ def q39_gap_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT target_id, 'gap_endpoint' FROM relevance WHERE start_part IS NOT NULL UNION ALL SELECT target_id, 'gap_endpoint' FROM relevance WHERE end_part IS NOT NULL
     UNION ALL SELECT target_id, 'target_metric_edge' FROM metrics WHERE NOT stationary) GROUP BY ALL""")
 def q40_features_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = export.features(assessment(spark, sf_dir).persist_edges(), metric_mode="speed_mps")
+    rows = export.features(assessment(spark, sf_dir).persist(), metric_mode="speed_mps")
     return rows.groupBy("target_id", "layer").agg(F.count("*").alias("features"))
 
 
@@ -344,7 +344,7 @@ def q43_mapping_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT count(*) AS segments, CAST(0 AS BIGINT) AS without_assessment, CAST(0 AS BIGINT) AS without_target FROM segments")
 def q44_reference_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = assessment(spark, sf_dir).persist_edges()
+    a = assessment(spark, sf_dir).persist()
     keys = ["track_id", "target_id"]
     one = a.segments.join(a.relations, keys, "left_anti").agg(F.count("*").alias("without_assessment"))
     two = a.segments.join(a.targets, "target_id", "left_anti").agg(F.count("*").alias("without_target"))
@@ -354,7 +354,7 @@ def q44_reference_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT track_id, code FROM (SELECT DISTINCT track_id FROM intervals WHERE track_id % 3 = 0), (VALUES ('EDGE_UNACCOUNTED'), ('USABLE_INTERVALS_MISMATCH')) AS v(code)")
 def q45_claims_vs_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable intervals from which every third track's first one is taken away: the verifier names just these tracks."""
-    a = assessment(spark, sf_dir).persist_edges()
+    a = assessment(spark, sf_dir).persist("decided")
     true = quality.usable_intervals(a.decided.drop("run"))
     first = true.groupBy("track_id").agg(F.min(F.struct("part_index", "low")).alias("m")).filter("track_id % 3 = 0").select("track_id", "m.part_index", "m.low")
     claimed = true.join(first, ["track_id", "part_index", "low"], "left_anti").select("track_id", "part_index", "low", "high")
@@ -374,12 +374,12 @@ def q46_track_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def q47_geojson_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.geojson(assessment(spark, sf_dir, "T1", "T2").persist_edges(), metric_mode="speed_mps")
+    return export.geojson(assessment(spark, sf_dir, "T1", "T2").persist(), metric_mode="speed_mps")
 
 
 @_query()
 def q48_map_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = export.geojson(assessment(spark, sf_dir, "T3").persist_edges(), metric_mode="pace_s_per_km")
+    rows = export.geojson(assessment(spark, sf_dir, "T3").persist(), metric_mode="pace_s_per_km")
     return rows.select("track_id", "target_id", mapview.map_html(F.col("geojson")).alias("map")).select("track_id", "target_id", "map.*")
 
 
@@ -429,7 +429,7 @@ ORACLE_SQL["q51_part_relations"] = ORACLE_SQL["q51_part_relations"].replace("FRO
 @_query()
 def q52_evidence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verifier counts: none on what the stages give, and the codes for tampered observations."""
-    a = assessment(spark, sf_dir).persist_edges()
+    a = assessment(spark, sf_dir).persist("decided")
     tampered = a.observations.withColumn("record_index", F.when((F.col("part_index") == 1) & (F.col("observation_index") == 0), -1).otherwise(F.col("record_index")))
     found = [verify.evidence_issues(a.observations, a.diagnostics).withColumn("claim", F.lit("as produced")), verify.evidence_issues(tampered, a.diagnostics).withColumn("claim", F.lit("tampered"))]
     return found[0].unionByName(found[1]).groupBy("claim", "code").agg(F.count("*").alias("tracks"))
@@ -438,7 +438,7 @@ def q52_evidence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def q53_spatial_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spatial and entity verifiers on claims with every segment's second half and every partial relation taken away."""
-    a = assessment(spark, sf_dir, "T1", "T4").persist_edges()
+    a = assessment(spark, sf_dir, "T1", "T4").persist()
     relations = a.relations.withColumn("relation", F.when(F.col("relation") == "partial", "inside").otherwise(F.col("relation")))
     segments = a.segments.filter("ordinal % 2 = 0")
     return verify.spatial_issues(a, a.fragments, relations).unionByName(verify.entity_issues(a, segments)).groupBy("target_id", "code").agg(F.count("*").alias("pairs"))
