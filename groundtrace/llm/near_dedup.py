@@ -46,9 +46,9 @@ LEVELS = ((2, 12, 24, 64), (4, 36, 600, None))
 BLOCK = 1 << 18
 #: Shingles that a text holds more often than this are aligned by one mask of all their places.
 OFTEN = 256
-#: One bit of each entry is kept at the later level, ``BITS`` in an integer. Of texts of similarity 0.8 they agree in
-#: 80 % at least, with a deviation of 1.6 %; those under that less three deviations are not compared.
-BITS, AGREEING = 60, 0.751
+#: Of each entry of the later level one bit is kept, ``BITS`` of them in an integer, and four bits, ``NIBBLES`` in one.
+#: Two texts of similarity 0.8 agree in a known share of either; those that are ``DEVIATIONS`` below it are not compared.
+BITS, NIBBLES, DEVIATIONS = 60, 16, 3.0
 #: Rounds in which the members of a bucket are compared with pivots, and random pivots of each round after the first.
 TURNS, PIVOTS = 2, 4
 
@@ -112,12 +112,13 @@ def sketches(keys: np.ndarray, first: np.ndarray, level: int = 0) -> np.ndarray:
 
 
 def signatures(texts: pa.Array, level: int = 0) -> tuple[np.ndarray, ...]:
-    """Of each text: its number of shingles, 128 bits of its word sequence, its band keys and a bit of each entry (zeros where it has no words)."""
+    """Of each text: its number of shingles, 128 bits of its word sequence, its band keys, a bit and four bits of each entry (zeros where it has no words)."""
     rows, width, functions, _ = LEVELS[level]
     words = batch_words(texts)
     n = len(words.first) - 1
     count, exact, other = np.zeros(n, np.int64), np.zeros(n, U), np.zeros(n, U)
-    bands, bits = np.zeros((n, width), U), np.zeros((n, -(-functions // BITS)), U)
+    bands = np.zeros((n, width), U)
+    packed = [(1, BITS, np.zeros((n, -(-functions // BITS)), U)), (4, NIBBLES, np.zeros((n, -(-functions // NIBBLES)), U))]
     low = 0
     while low < n:
         high = max(low + 1, int(np.searchsorted(words.first, words.first[low] + BLOCK, "right")) - 1)
@@ -137,12 +138,13 @@ def signatures(texts: pa.Array, level: int = 0) -> tuple[np.ndarray, ...]:
                 keys = np.zeros((len(some), width), U)
                 for r in range(rows):
                     keys = mix(keys + entries[:, r : rows * width : rows])
-                for k in range(bits.shape[1]):
-                    part = (entries[:, k * BITS : (k + 1) * BITS] >> U(40)) & U(1)
-                    bits[low + some, k] = (part << np.arange(part.shape[1], dtype=U)).sum(axis=1, dtype=U)
+                for size, each, out in packed:
+                    for k in range(out.shape[1]):
+                        part = (entries[:, k * each : (k + 1) * each] >> U(40)) & U((1 << size) - 1)
+                        out[low + some, k] = (part << (np.arange(part.shape[1], dtype=U) * U(size))).sum(axis=1, dtype=U)
                 bands[low + some] = mix(keys + np.arange(1, width + 1, dtype=U) + U(level << 32))
         low = high
-    return count, exact, other, bands, bits
+    return count, exact, other, bands, *(out for _, _, out in packed)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -203,7 +205,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def _signed(docs: DataFrame, level: int = 0) -> DataFrame:
-    """(doc_id, n, exact, other, bands, bits) of each document that has words."""
+    """(doc_id, n, exact, other, bands, bits, nibbles) of each document that has words."""
 
     def sign(texts: pa.Array) -> pa.Array:
         parts = [signatures(part, level) for part in slices(texts)]
@@ -212,9 +214,9 @@ def _signed(docs: DataFrame, level: int = 0) -> DataFrame:
         for values in lists:
             offsets = pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32))
             plain.append(pa.ListArray.from_arrays(offsets, pa.array(values.ravel().view(np.int64))))
-        return pa.StructArray.from_arrays(plain, ["n", "exact", "other", "bands", "bits"])
+        return pa.StructArray.from_arrays(plain, ["n", "exact", "other", "bands", "bits", "nibbles"])
 
-    kind = "struct<n: bigint, exact: bigint, other: bigint, bands: array<bigint>, bits: array<bigint>>"
+    kind = "struct<n: bigint, exact: bigint, other: bigint, bands: array<bigint>, bits: array<bigint>, nibbles: array<bigint>>"
     once = F.arrow_udf(sign, kind).asNondeterministic()  # else a filter on its result computes it again, below joins
     signed = docs.select("doc_id", once("text").alias("s"))
     return signed.select("doc_id", "s.*").filter("doc_id IS NOT NULL AND n > 0")
@@ -240,15 +242,19 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of ``links`` (a, b): the least node of the component. Alternating star contraction."""
+    """(node, root) for the nodes of ``links`` (a, b): the least node of the component. Alternating star contraction.
+
+    The least neighbours are written before they are joined to the links: joined to an aggregate over the same
+    exchange, a star's centre with all its links would stay in one task; like this its partition can be split.
+    """
     links = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        large = materialise(large, "large")
+        small = large.join(materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least"), "a")
         after = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         after = materialise(after.filter("a <> b").distinct(), "links")
         discard(links.sparkSession, links)
@@ -260,9 +266,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """``shared`` (bucket, doc_id, n, bits, score) with the root of each member's component, in buckets of more than one component."""
+    """``shared`` (bucket, doc_id, n, sketch, score) with the root of each member's component, in buckets of more than one component."""
     roots = components(found)
-    placed = shared.join(roots, shared["doc_id"] == roots["node"], "left").select("bucket", "doc_id", "n", "bits", "score", F.coalesce("root", "doc_id").alias("root"))
+    placed = shared.join(roots, shared["doc_id"] == roots["node"], "left").select("bucket", "doc_id", "n", "sketch", "score", F.coalesce("root", "doc_id").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
     return materialise(placed.join(open_, "bucket"), "placed")
 
@@ -290,18 +296,43 @@ def _to_pivots(placed: DataFrame, turn: int) -> DataFrame:
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
+def _alike() -> Column:
+    """Whether the sketches agree as far as those of similar texts do; true where there are none.
+
+    Similar texts of N shingles in all have m = 0.8 / 1.8 N in common of U = N - m; they agree in an entry with a
+    chance of p = m (m - 1) / (U (U - 1)), in one bit of it of p + (1 - p) / 2, in four of p + (1 - p) / 16.
+    """
+    functions = LEVELS[-1][2]
+    total = (F.col("n_a") + F.col("n_b")).cast("double")
+    m, u = SIMILARITY / (1 + SIMILARITY) * total, total / (1 + SIMILARITY)
+    p = F.greatest(F.lit(0.0), m * (m - 1) / F.greatest(u * (u - 1), F.lit(1e-9)))
+
+    def most_unlike(values: int) -> Column:
+        share = p + (1 - p) / values
+        return functions * (1 - share + DEVIATIONS * F.sqrt(share * (1 - share) / functions))
+
+    unlike_bits = sum(F.bit_count(F.get("sketch_a.bits", F.lit(k)).bitwiseXOR(F.get("sketch_b.bits", F.lit(k)))) for k in range(-(-functions // BITS)))
+
+    def differing(a: Column, b: Column) -> Column:
+        x = a.bitwiseXOR(b)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    unlike_nibbles = F.aggregate(F.zip_with("sketch_a.nibbles", "sketch_b.nibbles", differing), F.lit(0), lambda s, x: s + x)
+    known = F.col("sketch_a").isNotNull() & F.col("sketch_b").isNotNull()
+    return F.when(known, (unlike_bits <= most_unlike(2)) & (unlike_nibbles <= most_unlike(16))).otherwise(True)
+
+
 def _rest(placed: DataFrame) -> DataFrame:
     """All pairs of members of a bucket in different components whose sketches agree: one of them isn't in the largest."""
     counted = placed.groupBy("bucket", "root").agg(F.count("*").alias("members"))
     main = counted.groupBy("bucket").agg(F.max(F.struct("members", "root")).alias("top")).select("bucket", F.col("top.root").alias("main"))
     open_ = placed.join(main, "bucket")
-    one = open_.filter("root <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("bits").alias("bits_a"))
-    two = open_.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("bits").alias("bits_b"), "main")
-    entries = LEVELS[-1][2]
-    unlike = sum(F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(-(-entries // BITS)))
-    like = F.coalesce(unlike <= (1 - AGREEING) * entries, F.lit(True))
+    one = open_.filter("root <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
+    two = open_.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"), "main")
     apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") > F.col("b")))
-    return one.join(two, "bucket").filter(apart & _fits("n_a", "n_b") & like).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return one.join(two, "bucket").filter(apart & _fits("n_a", "n_b") & _alike()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _texts(docs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -316,10 +347,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     exact = signed.groupBy("exact", "other").agg(F.min("doc_id").alias("rep"))
     members = materialise(signed.select("doc_id", "exact", "other").distinct().join(exact, ["exact", "other"]).select("doc_id", "rep", "exact", "other"), "members")
     reps = members.filter("doc_id = rep").select("doc_id", "exact", "other").join(signed, ["doc_id", "exact", "other"])
-    reps = reps.select("doc_id", "n", "bands", F.lit(None).cast("array<bigint>").alias("bits"))
+    reps = reps.select("doc_id", "n", "bands", F.lit(None).cast("struct<bits: array<bigint>, nibbles: array<bigint>>").alias("sketch"))
     sized, level, texts = [], 0, None
     while True:
-        entries = reps.select("doc_id", "n", "bits", F.explode_outer(F.array_distinct("bands")).alias("bucket")).distinct()
+        entries = reps.select("doc_id", "n", "sketch", F.explode_outer(F.array_distinct("bands")).alias("bucket")).distinct()
         buckets = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
         own, most = materialise(entries.join(buckets, "bucket"), "sized"), LEVELS[level][3]
         crowded = None if most is None else own.filter(F.col("size") > most).select("doc_id").distinct()
@@ -329,7 +360,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if texts is None:
             texts = _texts(docs, own)
         level += 1
-        reps = _signed(texts.join(crowded, "doc_id"), level).select("doc_id", "n", "bands", "bits")
+        reps = _signed(texts.join(crowded, "doc_id"), level).select("doc_id", "n", "bands", F.struct("bits", "nibbles").alias("sketch"))
     shared = reduce(DataFrame.unionByName, sized)
     scores = shared.groupBy(F.col("doc_id").alias("of")).agg(F.sum("size").alias("score"))
     shared = materialise(shared.drop("size").join(scores, F.col("doc_id") == F.col("of")).drop("of"), "shared")
