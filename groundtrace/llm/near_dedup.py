@@ -11,11 +11,11 @@ least ``SIMILARITY``: the Jaccard similarity of the shingles that agree in order
 (a + b) / 9 shingles unmatched, so the alignment is confined to a band of that many diagonals.
 
 Copies of one word sequence are folded into one representative first. In a bucket of a band every
-representative is compared with a pivot, the one that shares most bands with others; in the rounds after
-that, those outside the pivots' components with a few random members of the largest. At last every two
-members of a bucket that are still in different components are compared, so that no link between classes
-is lost, and no pairs are made inside a class, however large. Classes are the connected components of all
-links, found by alternating star contraction.
+representative is compared with a pivot, the one that shares most bands with others (and, if ``TURNS`` says
+so, those outside the pivots' components with a few random members of the largest, once or more). At last
+every two members of a bucket that are still in different components are compared if their sketches agree
+enough, so that links between classes aren't lost, and no pairs are made inside a class, however large.
+Classes are the connected components of all links, found by alternating star contraction.
 
 Defined results: a null text and a text without words are a class of their own; rows with a null doc_id
 are left out of the classes' table; the class id is the least doc_id; rows repeated with doc_id are one
@@ -50,7 +50,7 @@ OFTEN = 256
 #: Two texts of similarity 0.8 agree in a known share of either; those that are ``DEVIATIONS`` below it are not compared.
 BITS, NIBBLES, DEVIATIONS = 60, 16, 3.0
 #: Rounds in which the members of a bucket are compared with pivots, and random pivots of each round after the first.
-TURNS, PIVOTS = 2, 4
+TURNS, PIVOTS = 1, 4
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +253,7 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialise(large, "large")
-        small = large.join(materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least"), "a")
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")  # no centre here: a's links lead to lesser nodes
         after = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         after = materialise(after.filter("a <> b").distinct(), "links")
         discard(links.sparkSession, links)
