@@ -30,6 +30,11 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
+def canonical_number(value: Column) -> Column:
+    """Finite and not the negative zero, which would be another text for the same number."""
+    return finite(value) & ~value.cast("string").isin("-0.0", "-0")
+
+
 def in_domain(lon: Column, lat: Column) -> Column:
     return finite(lon) & finite(lat) & lon.between(-180, 180) & lat.between(-90, 90)
 

@@ -32,6 +32,13 @@ def differences(claimed: DataFrame, expected: DataFrame, code: str, *keys: str)
     return _issue(one.exceptAll(two).unionByName(two.exceptAll(one)), code, *(keys or ("track_id",)))
 
 
+def schema_issues(rows: DataFrame, rules: dict[tuple[str, str], Column], *keys: str) -> DataFrame:
+    """(keys, path, rule) of each row that breaks a rule; ``rules``: (path, rule) -> condition that has to hold. Null breaks it."""
+    broken = F.array(*[F.when(~F.coalesce(holds, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule"))) for (path, rule), holds in sorted(rules.items())])
+    found = rows.select(*keys, F.explode_outer(F.filter(broken, lambda b: b.isNotNull())).alias("b"))
+    return found.filter("b IS NOT NULL").select(*keys, "b.path", "b.rule")
+
+
 def missing(rows: DataFrame, parent: DataFrame, keys: list[str], code: str) -> DataFrame:
     """Rows that refer to nothing."""
     return _issue(rows.join(parent, keys, "left_anti"), code)

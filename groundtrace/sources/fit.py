@@ -7,6 +7,7 @@ time stamps and developer fields are read; only ``record`` messages are kept, in
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -57,8 +58,11 @@ def _value(raw: bytes, order: str, base: int) -> int | None:
     return None if value == invalid else value
 
 
-def decode(data: bytes) -> list[dict]:
-    """Records as dicts of raw values; ``has_position`` tells whether both fields are there, valid or not."""
+def decode(data: bytes, counts: Counter[int] | None = None) -> list[dict]:
+    """Records as dicts of raw values; ``has_position`` tells whether both fields are there, valid or not.
+
+    ``counts`` gets the number of data messages by message number.
+    """
     if len(data) < 14 or data[0] not in (12, 14) or data[8:12] != b".FIT":
         raise FitError("MALFORMED_SOURCE")
     head, body = data[0], struct.unpack_from("<I", data, 4)[0]
@@ -106,6 +110,8 @@ def decode(data: bytes) -> list[dict]:
             elif header & 0x80 and time is not None:
                 time += ((header & 31) - time) & 31
                 values[253] = time
+            if counts is not None:
+                counts[own.message] += 1
             if not file_ids and own.message != FILE_ID:
                 raise FitError("FIT_FILE_ID_MISSING")
             if own.message == FILE_ID:
@@ -144,6 +150,23 @@ def fit_records(content: Column) -> Column:
     return F.arrow_udf(read, _SQL)(content)
 
 
+def message_counts(content: Column) -> Column:
+    """map(message number -> data messages) of a file's bytes, null for a file that can't be read."""
+
+    def count(files: pa.Array) -> pa.Array:
+        out = []
+        for data in files.to_pylist():
+            found: Counter[int] = Counter()
+            try:
+                decode(bytes(data or b""), found)
+                out.append(sorted(found.items()))
+            except FitError:
+                out.append(None)
+        return pa.array(out, pa.map_(pa.int32(), pa.int64()))
+
+    return F.arrow_udf(count, "map<int, bigint>")(content)
+
+
 def parse_fit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(failures: source_id, code; samples) of (source_id, content). A record that can't be an observation fails its file."""
     rows = files.select("source_id", fit_records(F.col("content")).alias("f"))

@@ -86,3 +86,23 @@ def test_budget_and_digest(spark, tmp_path):
     assert [r.code for r in wrong.outcomes.collect()] == ["SOURCE_HASH_MISMATCH"]
     with pytest.raises(ValueError):
         read_files(spark, str(tmp_path), 0)
+
+
+def test_message_counts(spark):
+    data = fitwriter.activity([(FIT_TIME, 1, 1), (FIT_TIME, 2, 2)])
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(bytearray(data),), (bytearray(b"x"),)], "content binary").select(fit.message_counts(F.col("content"))).collect()
+    assert [r[0] for r in rows] == [{fit.FILE_ID: 1, fit.RECORD: 2}, None]
+
+
+def test_target_documents(spark, tmp_path):
+    import json
+
+    from groundtrace.sources import targets
+
+    shape = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1.5], [0, 0]]]}
+    (tmp_path / "a.json").write_text(json.dumps({"id": "t", "revision_id": "1", "geometry": shape, "definition_provenance": {"description": "d"}}, indent=1))
+    row = targets.read_targets(spark, str(tmp_path)).first()
+    assert (row.target_id, row.revision_id, json.loads(row.geometry)) == ("t", "1", shape)
+    assert targets.ring_segments(targets.read_targets(spark, str(tmp_path))).count() == 3

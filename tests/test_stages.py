@@ -175,3 +175,23 @@ def test_streaming_assesses_touched_tracks(spark, tmp_path):
     whole.filter("record_index = 2").coalesce(1).write.mode("append").parquet(str(source))
     run()
     assert seen == {(0, "a"): "partial", (0, "b"): "inside", (1, "a"): "partial"}
+
+
+def test_schema_rules(spark):
+    rows = spark.createDataFrame([(1, 0.5, "x"), (2, float("nan"), ""), (3, -0.0, None)], "id int, v double, s string")
+    rules = {("$.v", "number"): scalars.canonical_number(F.col("v")), ("$.s", "minLength"): F.length("s") >= 1}
+    found = sorted(tuple(r) for r in verify.schema_issues(rows, rules, "id").collect())
+    assert found == [(2, "$.s", "minLength"), (2, "$.v", "number"), (3, "$.s", "minLength"), (3, "$.v", "number")]
+
+
+def test_work_grows_with_the_parts(spark):
+    """Fragmented tracks of 200 to 1600 parts: under 2.8 times the time for each doubling, with room for a busy machine."""
+    import time
+
+    taken = []
+    for n in (200, 1600):
+        a = assess(spark, [[(-1, 1 + k / 10000), (3, 1 + k / 10000), (3, 1.5)] for k in range(n)], SQUARE)
+        began = time.time()
+        assert a.segments.count() == n
+        taken.append(time.time() - began)
+    assert taken[1] < taken[0] * 2.8**3
