@@ -51,9 +51,9 @@ def diagnostics(samples: DataFrame, parts: DataFrame | None = None) -> DataFrame
     own = F.explode(F.filter(F.array(F.struct(F.col("position_code").alias("code"), F.lit("position").alias("field")), F.struct(F.col("ts_code").alias("code"), F.lit("timestamp").alias("field"))), lambda d: d["code"].isNotNull()))
     empty = F.lit(None).cast("struct<part_index: int, observation_index: int>")
     said = rows.select("track_id", "part_ord", "sample_ord", F.lit(1).alias("kind"), own.alias("d"), "record_index").select("track_id", "part_ord", "sample_ord", "kind", "d.code", "d.field", "record_index", empty.alias("at"))
-    listed = (samples.select("track_id", "part_ord") if parts is None else parts.select("track_id", "part_ord")).distinct()
-    held = samples.groupBy("track_id", "part_ord").agg(F.count("*").alias("n"))
-    bounds = listed.join(held, ["track_id", "part_ord"], "left")
+    bounds = samples.groupBy("track_id", "part_ord").agg(F.count("*").alias("n"))
+    if parts is not None:
+        bounds = parts.select("track_id", "part_ord").distinct().join(bounds, ["track_id", "part_ord"], "left")
     codes = F.filter(F.array(F.when(F.col("part_ord") > 0, F.lit(GAP_CODES[0])), F.when(F.col("n").isNull(), F.lit(GAP_CODES[1]))), lambda c: c.isNotNull())
     bounds = bounds.select("track_id", "part_ord", F.posexplode(codes).alias("k", "code"))
     bounds = bounds.select("track_id", "part_ord", F.lit(-1).cast("long").alias("sample_ord"), F.col("k").alias("kind"), "code", none.alias("field"), F.lit(None).cast("long").alias("record_index"), empty.alias("at"))

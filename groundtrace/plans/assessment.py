@@ -69,7 +69,8 @@ class Assessment:
 
     @cached_property
     def relations(self) -> DataFrame:
-        return relation.relations(self.observations, self.fragments, self.relevance, self.targets)
+        positioned = self.samples.filter("lon IS NOT NULL AND lat IS NOT NULL")
+        return relation.relations(positioned, self.fragments, self.relevance, self.targets)
 
     @cached_property
     def uncertainties(self) -> DataFrame:
