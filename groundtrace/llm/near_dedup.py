@@ -43,7 +43,7 @@ KEPT = 2
 #: cases. The last level has no bound.
 LEVELS = ((2, 12, 24, 64), (4, 36, 600, None))
 #: Words whose sketches are computed at a time. Bounds the temporary arrays, not the texts.
-BLOCK = 1 << 18
+BLOCK = 1 << 15
 #: Shingles that a text holds more often than this are aligned by one mask of all their places.
 OFTEN = 256
 #: Of each entry of the later level one bit is kept, ``BITS`` of them in an integer, and four bits, ``NIBBLES`` in one.

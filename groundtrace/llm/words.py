@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at a time. Bounds the temporary arrays, not the texts.
-BLOCK = 1 << 21
+BLOCK = 1 << 17
 
 U = np.uint64
 
