@@ -6,8 +6,8 @@ distinct characters, shares of digits and of hexadecimal digits, the share that
 path and address signs, and what the two words before and the one after it are.
 
 The forest (``pyspark.ml``) learns from labelled findings, ``label`` 1 for secrets. The tables have no
-such labels, so the query takes them from a rule that reads what the features don't: a 40-digit
-hexadecimal value that is assigned to a name in quotes is a secret; other candidates are not. Findings of
+such labels, so the query takes them from a rule over the finding as it stands in the text: a 40-digit
+hexadecimal value in quotes that is assigned to a name is a secret; other candidates are not. Findings of
 documents whose crc32(doc_id as text) mod 5 is 0 are never learned from.
 
 Defined results: null, empty and word-free texts have no findings; equal findings have equal scores; with
