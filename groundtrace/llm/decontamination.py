@@ -231,7 +231,7 @@ def contamination(spark: SparkSession, blocks: list[Automaton], text: Column | s
 
 
 def cleaned(spark: SparkSession, blocks: list[Automaton], text: Column | str, coverage: float = COVERAGE) -> Column:
-    """The text without its contaminated spans; null where they are over ``coverage`` of its words.
+    """struct(changed, text): the text without its contaminated spans where there are any, null where they are over ``coverage`` of its words.
 
     A removed span leaves a line break. The result is searched again until it holds no window, as
     what stood around a span may form a new one. Texts without a window stay byte for byte.
@@ -253,21 +253,19 @@ def cleaned(spark: SparkSession, blocks: list[Automaton], text: Column | str, co
     def clean_part(texts: pa.Array) -> pa.Array:
         words = batch_words(texts)
         found = _found(shared, words)
-        if not found:
-            return texts.cast(pa.string())
-        out = texts.to_pylist()
+        out: list[str | None] = [None] * len(texts)  # texts that stay aren't sent back
         for row, (flags, _) in found.items():
             if flags.sum() > coverage * len(flags):
-                out[row] = None
                 continue
-            part, at = words, row
+            text, part, at = texts[row].as_py(), words, row
             while flags is not None:
-                out[row] = cut(out[row].encode(), part, at, flags).decode()
-                part, at = batch_words(pa.array([out[row]], pa.string())), 0
+                text = cut(text.encode(), part, at, flags).decode()
+                part, at = batch_words(pa.array([text], pa.string())), 0
                 flags = _found(shared, part).get(0, (None, None))[0]
-        return pa.array(out, pa.string())
+            out[row] = text
+        return pa.StructArray.from_arrays([pa.array([row in found for row in range(len(texts))], pa.bool_()), pa.array(out, pa.string())], ["changed", "text"])
 
-    return F.arrow_udf(clean, "string").asNondeterministic()(text)  # so that a filter on it doesn't compute it again
+    return F.arrow_udf(clean, "struct<changed: boolean, text: string>").asNondeterministic()(text)  # so that a filter on it doesn't compute it again
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -277,12 +275,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     """
     spark = docs.sparkSession
     text = cleaned(spark, automata(benchmark, window=window, block_words=block_words), "text", coverage)
-    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("kept"))
-    both = both.filter("row.text IS NULL OR kept IS NOT NULL")
-    same = F.col("kept").eqNullSafe(F.col("row.text"))
-    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("kept")}
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("new"))
+    both = both.filter("NOT new.changed OR new.text IS NOT NULL")
+    kept = F.when(F.col("new.changed"), F.col("new.text")).otherwise(F.col("row.text"))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": kept}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(F.col("new.changed"), F.length("new.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return both.select([v.alias(c) for c, v in out.items()])
 
 
