@@ -7,8 +7,10 @@ path and address signs, and what the two words before and the one after it are.
 
 The forest (``pyspark.ml``) learns from labelled findings, ``label`` 1 for secrets. The tables have no
 such labels, so the query takes them from a rule over the finding as it stands in the text: a 40-digit
-hexadecimal value in quotes that is assigned to a name is a secret; other candidates are not. Findings of
-documents whose crc32(doc_id as text) mod 5 is 0 are never learned from.
+hexadecimal value of either case in quotes that is assigned to a name, with blanks or without, is a
+secret; numbers, mail addresses and plain web addresses that are not named, assigned or quoted are none;
+the rule can't judge the others, which have no label and are not learned from. Findings of documents whose
+crc32(doc_id as text) mod 5 is 0 are never learned from.
 
 Defined results: null, empty and word-free texts have no findings; equal findings have equal scores; with
 labels of one kind only, all findings have that label's score; a null doc_id is kept.
@@ -31,6 +33,14 @@ TREES, DEPTH = 20, 6
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "auth", "bearer", "credential")
 #: Words that speak against a secret when a candidate holds them; a caller may give a longer dictionary.
 DICTIONARY = ("about", "after", "apache", "archive", "article", "blog", "category", "content", "data", "default", "document", "download", "example", "file", "gallery", "home", "http", "image", "index", "item", "license", "mail", "media", "news", "page", "photo", "post", "product", "public", "search", "section", "shop", "source", "static", "store", "test", "text", "the", "title", "user", "version", "video", "view", "with", "www")
+#: Forms that are no secret where nothing around them speaks for one: numbers, mail addresses, web addresses without user, query or random-looking parts.
+HARMLESS = (
+    r"^[0-9][0-9.,:/+-]*$",
+    r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}$",
+    r"^https?://(?!.*(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{8})[A-Za-z0-9._~/-]+$",
+)
+#: The name that a candidate without blanks (name="value") is assigned to.
+GLUED = r"^([A-Za-z_]+)[=:](?!//)"
 FEATURES = ("length", "changes", "distinct", "digits", "hexadecimal", "covered", "slashes", "dots", "ats", "named", "assigned", "quoted", "number_before", "number_after")
 
 
@@ -47,7 +57,7 @@ def findings(docs: DataFrame) -> DataFrame:
 def features(dictionary: tuple[str, ...] = DICTIONARY) -> dict[str, Column]:
     word, length = F.col("word"), F.length("word").cast("double")
     share = lambda pattern: F.regexp_count(word, F.lit(pattern)) / length
-    lower = F.lower(F.concat_ws(" ", "before2", "before"))
+    lower = F.lower(F.concat_ws(" ", "before2", "before", F.regexp_extract("word", GLUED, 1)))
     known = "(?i)" + "|".join(sorted(dictionary, key=lambda w: (-len(w), w)))
     flag = lambda condition: F.when(condition, 1.0).otherwise(0.0)
     return {
@@ -61,17 +71,20 @@ def features(dictionary: tuple[str, ...] = DICTIONARY) -> dict[str, Column]:
         "dots": share("[.]"),
         "ats": share("@"),
         "named": flag(lower.rlike("|".join(NAMES))),
-        "assigned": flag(F.col("before").rlike("[=:]$")),
-        "quoted": flag(F.col("raw").rlike("^[\"'`]")),
+        "assigned": flag(F.col("before").rlike("[=:]$") | word.rlike(GLUED)),
+        "quoted": flag(F.col("raw").rlike("^[\"'`]") | word.rlike(GLUED + "[\"'`]")),
         "number_before": flag(F.col("before").rlike("^[0-9]+$")),
         "number_after": flag(F.col("after").rlike("^[0-9]+$")),
     }
 
 
 def rule_label() -> Column:
-    """The rule that stands for a reviewer of findings."""
-    assigned = F.col("raw").rlike("^\"[0-9a-f]{40}\"") & (F.col("before") == "=") & F.col("before2").rlike("^[A-Za-z_]+$")
-    return F.when(assigned, 1).otherwise(0)
+    """The rule that stands for a reviewer of findings: 1, 0, or null for those that it can't judge."""
+    assigned = F.col("raw").rlike("(?i)^\"[0-9a-f]{40}\"") & (F.col("before") == "=") & F.col("before2").rlike("^[A-Za-z_]+$")
+    glued = F.col("word").rlike("(?i)^[a-z_]+=\"[0-9a-f]{40}$") & F.col("raw").rlike("[0-9a-fA-F]{40}\"")
+    known = features()
+    plain = (known["named"] == 0) & (known["assigned"] == 0) & (known["quoted"] == 0)
+    return F.when(assigned | glued, 1).when(plain & F.col("word").rlike("|".join(HARMLESS)), 0)
 
 
 def learned_from(doc_id: Column | str = "doc_id") -> Column:

@@ -165,6 +165,42 @@ def test_secrets(spark):
     assert secrets.scored(found, labelled.limit(0)).select("score").distinct().collect()[0][0] == 0.0
 
 
+def test_secrets_that_the_rule_cannot_judge_are_not_learned_as_false(spark):
+    rng = random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, upper = "0123456789abcdef", "0123456789ABCDEF"
+    base64 = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    forms = {
+        "lower": (lambda: f'token = "{draw(lower, 40)}"', {1}),
+        "upper": (lambda: f'TOKEN = "{draw(upper, 40)}"!!', {1}),
+        "no blanks": (lambda: f'token="{draw(lower, 40)}"', {1}),
+        "unquoted": (lambda: f"token = {draw(lower, 39)}7", {None}),
+        "32 digits": (lambda: f'token = "{draw(lower, 31)}7"', {None}),
+        "base64": (lambda: f'secret = "{draw(base64, 39)}7"', {None}),
+        "prefixed": (lambda: f'key = "sk_live_{draw(base64, 24)}7"', {None}),
+        "named number": (lambda: f"password: {draw('123456789', 20)}", {None}),
+        "signed address": (lambda: f"see https://a.example.com/?token={draw(lower, 32)}7 there", {None}),
+        "random address": (lambda: f"see https://hooks.example.com/services/T1/{draw(base64, 23)}7a there", {None}),
+        "number": (lambda: f"call {draw('123456789', 16)} now", {0}),
+        "mail": (lambda: f"ask jane.{draw('123456789', 2)}@mail8.example.com now", {0}),
+        "address": (lambda: f"see https://www.example.com/archive/2024/item-{draw('123456789', 3)} there", {0}),
+    }
+    names = [*forms]
+    docs = spark.createDataFrame([(i, f"words {forms[names[i % len(names)]][0]()} more") for i in range(60 * len(names))], "doc_id bigint, text string")
+    found = secrets.findings(docs)
+    judged = found.withColumn("label", secrets.rule_label())
+    told = {n: set() for n in names}
+    for r in judged.collect():
+        told[names[r.doc_id % len(names)]].add(r.label)
+    assert told == {n: labels for n, (_, labels) in forms.items()}
+    rows = secrets.scored(found, judged.filter(secrets.learned_from())).collect()
+    assert len(rows) == 60 * len(names)
+    low = {n: min(r.score for r in rows if names[r.doc_id % len(names)] == n) for n in names}
+    high = {n: max(r.score for r in rows if names[r.doc_id % len(names)] == n) for n in names}
+    assert all(low[n] >= 0.5 for n in ("lower", "upper", "no blanks"))
+    assert all(high[n] < 0.5 for n in ("number", "mail", "address"))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     rows = QUERIES[name](spark, SMALL)
