@@ -7,8 +7,9 @@ the end-of-block code has one bit: every block takes 16 bits, whole rows of bloc
 as arrays, and neither byte of a block can be 0xFF. Frames with other tables or with AC coefficients go
 through a sequential decoder.
 
-Shots: the histograms of neighbouring frames are compared; a cut is a difference over the mean of those
-before it plus ``CUT_SIGMAS`` deviations, and over ``CUT_LEAST``.
+Shots: the histograms of neighbouring frames are compared; a cut is a difference over ``CUT_LEAST`` and
+over the mean plus ``CUT_SIGMAS`` deviations of those of the ``CUT_WINDOW`` differences before it that are
+no cuts themselves. Where there are none, ``CUT_LEAST`` alone decides.
 
 Defined results: a null text is stored as an empty one, which is one unit of zero bytes; equal texts have
 equal files. A RIFF file ends before 4 GiB; a payload that would not fit raises ValueError.
@@ -281,10 +282,13 @@ def clips(video: Video) -> list[tuple[int, int, float]]:
     """(begin, end, difference at its begin) of each shot, in milliseconds."""
     change = differences(video.levels)
     cuts = [(0, 0.0)]
+    steady = np.ones(len(change), bool)
     for t, value in enumerate(change.tolist(), 1):
-        before = change[max(0, t - 1 - CUT_WINDOW) : t - 1]
-        if len(before) and value > max(CUT_LEAST, before.mean() + CUT_SIGMAS * before.std()):
+        window = slice(max(0, t - 1 - CUT_WINDOW), t - 1)
+        before = change[window][steady[window]]
+        if value > CUT_LEAST and (not len(before) or value > before.mean() + CUT_SIGMAS * before.std()):
             cuts.append((t, value))
+            steady[t - 1] = False
     ends = [t for t, _ in cuts[1:]] + [len(video.levels)]
     return [(a * video.frame_us // 1000, b * video.frame_us // 1000, v) for (a, v), b in zip(cuts, ends, strict=True)]
 

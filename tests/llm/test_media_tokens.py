@@ -55,6 +55,32 @@ def test_shots():
     assert len(media.clips(media.Video(40_000, np.zeros((1, 64), np.uint8), b""))) == 1
 
 
+def shots(*lengths):
+    """The clips' first frames of dark and light shots in turn; neighbouring frames of a shot differ by 0.05."""
+    frames, dark = [], True
+    for n in lengths:
+        for i in range(n):
+            frame = np.full(320, 20 if dark else 220)
+            frame[:16] += 8 * (i % 2)
+            frames.append(frame)
+        dark = not dark
+    levels = np.array(frames, np.uint8)
+    found = media.clips(media.Video(40_000, levels, b""))
+    assert found[-1][1] == len(levels) * 40 and [a for a, *_ in found[1:]] == [b for _, b, _ in found[:-1]]
+    return [a // 40 for a, *_ in found]
+
+
+@pytest.mark.parametrize("gap", range(1, 13))
+def test_two_cuts_close_together(gap):
+    assert shots(9, gap, 9) == [0, 9, 9 + gap]
+
+
+def test_cuts_at_the_first_frames():
+    assert shots(1, 1) == [0, 1] and shots(1, 12) == [0, 1] and shots(1, 1, 12) == [0, 1, 2] and shots(2, 12) == [0, 2]
+    assert shots(30) == [0] and shots(*[1] * 20) == [*range(20)]
+    assert " clips=2 last_ms=40-80 peak=1.0000" in media.digest("\x10" * 2048 + "z" * 2048)[-1]
+
+
 def test_media_columns(spark):
     texts = [None, "", "é" * 50, "x" * 64, "long " * 4000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
