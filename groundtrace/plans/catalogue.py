@@ -374,12 +374,12 @@ def q46_track_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def q47_geojson_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.geojson(assessment(spark, sf_dir, "T1", "T2").persist(), metric_mode="speed_mps")
+    return export.geojson(assessment(spark, sf_dir).persist(), metric_mode="speed_mps")
 
 
 @_query()
 def q48_map_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = export.geojson(assessment(spark, sf_dir, "T3").persist(), metric_mode="pace_s_per_km")
+    rows = export.geojson(assessment(spark, sf_dir).persist(), metric_mode="pace_s_per_km")
     return rows.select("track_id", "target_id", mapview.map_html(F.col("geojson")).alias("map")).select("track_id", "target_id", "map.*")
 
 
@@ -438,7 +438,7 @@ def q52_evidence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def q53_spatial_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spatial and entity verifiers on claims with every segment's second half and every partial relation taken away."""
-    a = assessment(spark, sf_dir, "T1", "T4").persist()
+    a = assessment(spark, sf_dir).persist()
     relations = a.relations.withColumn("relation", F.when(F.col("relation") == "partial", "inside").otherwise(F.col("relation")))
     segments = a.segments.filter("ordinal % 2 = 0")
     return verify.spatial_issues(a, a.fragments, relations).unionByName(verify.entity_issues(a, segments)).groupBy("target_id", "code").agg(F.count("*").alias("pairs"))
