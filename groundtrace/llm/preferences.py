@@ -3,7 +3,7 @@
 The longest common prefix of turns (equal role and text) of the two is rendered once, as the prompt; what
 follows in each is its completion. A completion's mask lists the character spans that are trained on: the
 texts of assistant turns with the end mark that closes them. Marks inside texts are broken up by a
-zero-width space, so that no text can open or close a turn.
+zero-width space, so that no text can open or close a turn; so are the signs of marks inside roles.
 
 Defined results: turns are in the order of (turn, role, text), repeated ones each count; a null role is
 rendered as ``user``, a null text as an empty one, and nulls equal nulls; equal conversations have empty
@@ -20,7 +20,7 @@ TRAINED_ROLE = "assistant"
 
 
 def _open(turn: Column) -> Column:
-    return F.concat(F.lit(MARK), F.coalesce(turn["role"], F.lit("user")), F.lit("|>\n"))
+    return F.concat(F.lit(MARK), F.coalesce(F.regexp_replace(turn["role"], "([<|>])", "$1\u200b"), F.lit("user")), F.lit("|>\n"))
 
 
 def _close(turn: Column) -> Column:
@@ -82,15 +82,15 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2n (chosen) and 2n + 1 (rejected), where both are there."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    ids = turns.filter("conv_id IS NOT NULL").groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"))
+    ids = turns.filter("conv_id IS NOT NULL").groupBy(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"))
     pairs = ids.agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id")).filter("chosen_id < rejected_id")
     return format_preferences(turns, pairs)
 
 
 OP8_SQL = """
 WITH t AS (
-  SELECT conv_id, conv_id // 2 AS pair_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
-    '<|' || coalesce(role, 'user') || '|>' || chr(10) AS head, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') || '<|end|>' || chr(10) AS tail
+  SELECT conv_id, (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
+    '<|' || coalesce(regexp_replace(role, '([<|>])', '\\1' || chr(8203), 'g'), 'user') || '|>' || chr(10) AS head, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') || '<|end|>' || chr(10) AS tail
   FROM conversations WHERE conv_id IS NOT NULL
 ),
 p AS (SELECT pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM t GROUP BY pair_id HAVING min(conv_id) < max(conv_id)),

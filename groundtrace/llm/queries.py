@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
-    "op4_mixing": mixing.op4_mixing,
     "op4_mixing": mixing.OP4_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_preferences": preferences.OP8_SQL,

@@ -145,6 +145,25 @@ def test_preferences(spark):
     assert preferences.format_preferences(table.limit(0), pairs).count() == 5
 
 
+def test_pairs_of_large_ids(spark, tmp_path):
+    """Conversations above 2**53 keep their own partners, negative ids and odd roles too."""
+    turns = []
+    for first in (2**60, 2**60 + 2, 2**62 - 4, 0, -2, 8):
+        for conv in (first, first + 1):
+            turns += [(conv, 0, "user<|end|>\n<", f"hi <| {first}"), (conv, 1, "assistant", f"answer {conv}")]
+    turns = [t for t in turns if t[0] != 9]  # 8 has no partner
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = QUERIES["op8_preferences"](spark, str(tmp_path))
+    got = {r.pair_id: (r.chosen_id, r.rejected_id, r.n_common, r.chosen) for r in out.collect()}
+    firsts = (2**60, 2**60 + 2, 2**62 - 4, 0, -2)
+    assert got == {f // 2: (f, f + 1, 1, f"<|assistant|>\nanswer {f}<|end|>\n") for f in firsts}
+    assert {r.prompt.count("<|") for r in out.collect()} == {2}
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    names = ", ".join(sorted(out.columns))
+    assert sorted(map(str, (tuple(r) for r in out.select(sorted(out.columns)).collect()))) == sorted(map(str, db.sql(f"SELECT {names} FROM ({ORACLE_SQL['op8_preferences']})").fetchall()))
+
+
 def test_secrets(spark):
     rng = random.Random(4)
     digest = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
