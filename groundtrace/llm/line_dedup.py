@@ -1,119 +1,123 @@
-"""Removal of repeated line runs: prefix doubling over sequences of line IDs, in DataFrame functions only.
-
-A document is the sequence of its non-blank lines. By prefix doubling every suffix gets a name for its
-first 1, 2, 4, ... lines; two suffixes have the same name exactly if they agree that far. The depth at
-which a suffix is looked at is where its prefix first reaches ``min_words`` words: a descent through the
-doubled names finds that depth and names the prefix. The suffixes of one name form the interval of a
-suffix array in which the longest common prefix is at least that deep; the intervals of two or more
-suffixes are the repeated runs, and each run that is longer is the union of the prefixes of the suffixes
-in it. The same from the other end names the runs that end at a line, which covers the last lines of a
-run, too short to begin a prefix. The suffixes are grouped by name, not sorted: what is needed from the
-suffix array is its intervals, and a hash aggregate finds these where no sorted partition could hold a
-hot one.
-
-A line goes if it is in a run of at least ``min_words`` words of which an earlier copy exists, in the
-order of doc_id and line number. The first copy stays.
-
-Words are counted between blanks. Equal lines have equal 64-bit IDs; unequal ones are taken for equal
-with a chance of about 2**-64 a pair. Defined results: blank lines are neither compared nor counted and
+"""Removal of repeated line runs by a suffix array over line IDs, in DataFrame functions only.
+
+A document is the sequence of its non-blank lines, a line is its 64-bit ID. The suffix array is made by
+distributed prefix doubling: the groups of equal lines are sorted over all partitions, and a group's place
+in that order is the rank of its suffixes by their first line; the pairs (rank of the first 2**k lines, rank of
+the next 2**k) are sorted in the same way into ranks by 2**(k + 1) lines. A suffix whose group has no other
+member shares no more lines with any suffix, so it leaves the rounds; so do blocks of lines that are longer than any run that
+is asked for. Groups are counted before they are shuffled, so a line that stands in a third of all rows is one row.
+
+Two suffixes have a longest common prefix of at least n lines, 2**k <= n < 2**(k + 1), exactly if the ranks
+of their first 2**k lines and those of the 2**k lines that end the prefix are equal; such suffixes are one interval of the suffix
+array. The depths at which intervals are looked for are the least that hold ``min_words`` words, counted from a run's first line
+and counted back from its last: the repeated runs of so many words are the unions of these prefixes, and overlapping ones
+are merged into maximal runs. An interval's first suffix, in the order of doc_id, text hash and line, stays; the runs at all others go.
+
+Words are runs of characters that are neither blanks nor U+0009 to U+000D. Equal lines have equal 64-bit IDs; unequal ones
+are taken for equal with a chance of about 2**-64 a pair. Defined results: lines without words are neither compared nor counted and
 stay, unless no other line of the document stays; null and word-free texts stay as they are; rows with a
 null doc_id stay as they are and are nobody's earlier copy; rows that are repeated with doc_id and text
-are one document, all of them treated alike.
+are one document, all of them treated alike; different texts of one doc_id are documents in the order of their text hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundtrace.llm.scratch import materialise
+from groundtrace.llm.scratch import attached, discard, materialise
 
 #: Words of a run that is removed when it is repeated.
 MIN_WORDS = 50
-
-LINES = "array<struct<pos: int, h: bigint, w: int>>"
+#: A document; its lines are numbered by ``pos``.
+DOC = ["doc_id", "tie"]
 
 
 def word_count(line: Column) -> Column:
     trimmed = F.trim(line)
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
-
-
-def _descent(docs: DataFrame, levels: int, min_words: int, backward: bool) -> DataFrame:
-    """Adds ``s0`` ...: for each line the lines, words and name of the longest run from it (or up to it) under ``min_words`` words."""
-    seed = F.xxhash64(F.lit("to" if backward else "from"))
-    out = docs.withColumn("state", F.transform("h0", lambda _: F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"), seed.alias("name"))))
-    for k in reversed(range(levels)):
-
-        out = out.withColumn("state", F.transform("state", _further(k, min_words, backward)))
-    return out
-
-
-def _further(k: int, min_words: int, backward: bool) -> Callable[[Column, Column], Column]:
-    def further(state: Column, i: Column) -> Column:
-        at = i - state["n"] - F.lit(2**k - 1) if backward else i + state["n"]
-        words = F.when(at >= 0, F.get(f"w{k}", at)) if backward else F.get(f"w{k}", at)
-        longer = F.struct((state["n"] + 2**k).alias("n"), (state["w"] + words).alias("w"), F.xxhash64(state["name"], F.get(f"h{k}", at)).alias("name"))
-        return F.when(state["w"] + words < min_words, longer).otherwise(state)
+    plain = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1
+    odd = trimmed.rlike("[\\x09-\\x0D]|  ")
+    return F.when(trimmed == "", 0).when(odd, F.regexp_count(trimmed, F.lit("[^\\x20\\x09-\\x0D]+"))).otherwise(plain)
 
-    return further
 
+def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, rank) of the groups with two rows and more: ``rank`` is increasing in the order of the keys over all partitions."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return materialise(groups.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
-def _doubled(k: int) -> tuple[Column, Column]:
-    """Words and names of the blocks of 2**k lines; null where the document ends before."""
-    half = 2 ** (k - 1)
-    words = F.transform(f"w{k - 1}", lambda x, i: x + F.get(f"w{k - 1}", i + half))
-    names = F.transform(f"h{k - 1}", lambda x, i: F.when(F.get(f"h{k - 1}", i + half).isNotNull(), F.xxhash64(x, F.get(f"h{k - 1}", i + half))))
-    return words, names
 
+def numbered_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, tie, pos, h, words, to, since): each line, the end of the shortest run from it and the beginning of the shortest run up to it.
 
-def _runs(docs: DataFrame, levels: int, min_words: int, backward: bool) -> DataFrame:
-    """Adds an array of (name, first line, last line) of the shortest runs of ``min_words`` words from (or up to) each line."""
-
-    def whole(state: Column, i: Column) -> Column:
-        at = i - state["n"] if backward else i + state["n"]
-        name = F.xxhash64(state["name"], F.get("h0", F.greatest(at, F.lit(0))))
-        low, high = (at, i) if backward else (i, at)
-        return F.when((at >= 0) & (at < F.size("h0")), F.struct(name.alias("name"), low.alias("low"), high.alias("high")))
-
-    column = "to_runs" if backward else "from_runs"
-    return _descent(docs, levels, min_words, backward).withColumn(column, F.filter(F.transform("state", whole), lambda x: x.isNotNull())).drop("state")
-
-
-def line_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, tie, name, low, high, again): the shortest runs of ``min_words`` words, ``again`` if the document holds one before."""
-    lines = F.transform(F.split("text", "\n"), lambda line: F.struct(F.xxhash64(line).alias("h"), word_count(line).cast("int").alias("w")))
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tie"), F.filter(lines, lambda x: x["w"] > 0).alias("lines"))
-    rows = rows.select("doc_id", "tie", F.col("lines.h").alias("h0"), F.col("lines.w").alias("w0"))
-    rows = rows.filter(F.aggregate("w0", F.lit(0), lambda a, w: F.least(a + w, F.lit(min_words))) >= min_words)
-    levels = max(min_words - 1, 1).bit_length()  # every line counted has a word, so no run is longer than min_words lines
-    for k in range(1, levels):
-        words, names = _doubled(k)
-        rows = rows.withColumns({f"w{k}": words, f"h{k}": names})
-    rows = _runs(_runs(rows, levels, min_words, False), levels, min_words, True)
-    rows = rows.select("doc_id", "tie", F.array_sort(F.concat("from_runs", "to_runs")).alias("runs"))
-    again = F.transform("runs", lambda x, i: F.struct(x["name"].alias("name"), x["low"].alias("low"), x["high"].alias("high"), (F.get("runs.name", i - 1) == x["name"]).alias("again")))
-    # outer: else the planner infers a filter on the array's size and repeats all that makes the array in it
-    return rows.select("doc_id", "tie", F.inline_outer(again)).filter("name IS NOT NULL").withColumn("again", F.coalesce("again", F.lit(False)))
+    Only documents of ``min_words`` and more; a line counts ``min_words`` at most, which changes no run. The lines of a document are in one task.
+    """
+    lines = F.transform(F.split("text", "\n"), lambda line: F.struct(F.xxhash64(line).alias("h"), F.least(word_count(line), F.lit(min_words)).cast("int").alias("words")))
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tie"), F.filter(lines, lambda x: x["words"] > 0).alias("lines"))
+    rows = rows.filter(F.aggregate("lines", F.lit(0), lambda a, x: F.least(a + x["words"], F.lit(min_words))) >= min_words).dropDuplicates(DOC)
+    end = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("words")))  # a line after the last, which ends its runs
+    rows = rows.select(*DOC, F.posexplode(F.concat("lines", end)).alias("pos", "line")).select(*DOC, "pos", "line.*")
+    inside = W.partitionBy(*DOC).orderBy("pos")
+    rows = rows.withColumn("before", F.coalesce(F.sum("words").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    by_words = W.partitionBy(*DOC).orderBy("before")
+    after = F.min("pos").over(by_words.rangeBetween(min_words, 2 * min_words - 1)) - 1
+    behind = F.max("pos").over(by_words.rangeBetween(1 - 2 * min_words, -min_words))
+    rows = rows.withColumns({"to": after, "behind": behind}).withColumn("since", F.lead("behind").over(by_words))
+    return rows.filter("h IS NOT NULL").select(*DOC, "pos", "h", "words", "to", "since")
+
+
+def suffix_ranks(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The repeated lines; (doc_id, tie, pos, k, rank): the rank of each suffix by its first 2**k lines, where another one has the same; the tables that these read."""
+    groups = ranked(lines, ["h"])
+    first = materialise(attached(lines, groups, ["h"]).drop("h"), "suffixes")
+    discard(groups)
+    kept = [first]
+    active = first.select(*DOC, "pos", "rank", "words", F.col("words").alias("head"), F.col("words").alias("tail"))
+    every, k = active.select(*DOC, "pos", F.lit(0).alias("k"), "rank"), 0
+    while 2 ** (k + 1) <= min_words:
+        beside = W.partitionBy(*DOC).orderBy("pos").rangeBetween(2**k, 2**k)
+        pairs = active.withColumn("next", F.max(F.struct("rank", "words", "tail")).over(beside)).filter("next IS NOT NULL")
+        pairs = pairs.select(*DOC, "pos", F.col("rank").alias("one"), F.col("next.rank").alias("two"), (F.col("words") + F.col("next.words")).alias("words"), "head", F.col("next.tail").alias("tail"))
+        pairs = materialise(pairs.filter(F.col("words") - F.greatest("head", "tail") < min_words), "pairs")  # else longer than any run
+        k += 1
+        groups = ranked(pairs, ["one", "two"])
+        active = materialise(attached(pairs, groups, ["one", "two"]).drop("one", "two"), "suffixes")
+        discard(pairs, groups)
+        kept.append(active)
+        if active.isEmpty():
+            break
+        every = every.unionByName(active.select(*DOC, "pos", F.lit(k).alias("k"), "rank"))
+    return first, every, kept
+
+
+def lcp_intervals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The prefixes (doc_id, tie, low, high, lines, one, two) of suffixes, and the intervals (lines, one, two, n, first) of two suffixes and more."""
+    lines = materialise(numbered_lines(docs, min_words), "lines")
+    first, ranks, kept = suffix_ranks(lines, min_words)
+    ends = F.array(F.struct(F.col("pos").alias("low"), F.col("to").alias("high")), F.struct(F.col("since").alias("low"), F.col("pos").alias("high")))
+    runs = first.select(*DOC, F.explode(ends).alias("run")).select(*DOC, "run.*").filter("low IS NOT NULL AND high IS NOT NULL")
+    runs = runs.withColumn("lines", F.col("high") - F.col("low") + 1).withColumn("k", F.length(F.bin(F.col("lines").cast("long"))) - 1)
+    runs = runs.withColumn("last", F.col("high") - F.expr("shiftleft(1, k)") + 1)
+    begin = ranks.select(*DOC, F.col("pos").alias("low"), "k", F.col("rank").alias("one"))
+    finish = ranks.select(*DOC, F.col("pos").alias("last"), "k", F.col("rank").alias("two"))
+    prefixes = materialise(runs.join(begin, [*DOC, "low", "k"]).join(finish, [*DOC, "last", "k"]).select(*DOC, "low", "high", "lines", "one", "two"), "prefixes")
+    discard(lines, *kept)
+    place = F.struct(*DOC, "low")
+    intervals = prefixes.groupBy("lines", "one", "two").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("at_last"))
+    return prefixes, materialise(intervals.filter("first < at_last").drop("at_last"), "intervals")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, tie, spans): for each document with later copies of runs, these as merged (first, last) non-blank lines."""
-    runs = materialise(line_runs(docs, min_words), "runs")
-    intervals = runs.filter("NOT again").groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    later = runs.filter("NOT again").join(intervals, "name").filter("doc_id > first_doc").select("doc_id", "tie", "low", "high")
-    later = later.unionByName(runs.filter("again").select("doc_id", "tie", "low", "high"))
-    spans = later.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("low", "high")).alias("spans"))  # at most two for each line of one text
-
-    def merge(merged: Column, span: Column) -> Column:
-        last = F.element_at(merged, -1)
-        joined = F.concat(F.slice(merged, 1, F.size(merged) - 1), F.array(F.struct(last["low"].alias("low"), F.greatest(last["high"], span["high"]).alias("high"))))
-        return F.when((F.size(merged) > 0) & (F.try_element_at(merged, F.lit(-1))["high"] >= span["low"] - 1), joined).otherwise(F.concat(merged, F.array(span)))
-
-    empty = F.array().cast("array<struct<low: int, high: int>>")
-    return spans.select("doc_id", "tie", F.aggregate(F.array_sort("spans"), empty, merge).alias("spans"))
+    """(doc_id, tie, spans): for each document with later copies of runs, these as maximal (low, high) non-blank lines in order."""
+    prefixes, intervals = lcp_intervals(docs, min_words)
+    later = attached(prefixes, intervals, ["lines", "one", "two"]).filter(F.struct(*DOC, "low") > F.col("first")).select(*DOC, "low", "high")
+    inside = W.partitionBy(*DOC).orderBy("low", "high")
+    later = later.withColumn("apart", F.col("low") > F.max("high").over(inside.rowsBetween(W.unboundedPreceding, -1)) + 1)
+    later = later.withColumn("run", F.count_if("apart").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    runs = later.groupBy(*DOC, "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = materialise(runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans")), "spans")
+    discard(prefixes, intervals)
+    return spans
 
 
 def split_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -123,7 +127,7 @@ def split_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     both = both.join(spans, (F.col("row.doc_id") == F.col("own_id")) & (F.xxhash64("row.text") == F.col("own_tie")), "left")
     empty = F.array().cast("array<struct<low: int, high: int>>")
     both = both.select("row", F.coalesce("spans", empty).alias("spans"), F.coalesce(F.split("row.text", "\n"), F.array().cast("array<string>")).alias("lines"))
-    both = both.withColumn("filled", F.filter(F.transform("lines", lambda line, i: F.when(F.trim(line) != "", i)), lambda x: x.isNotNull()))
+    both = both.withColumn("filled", F.filter(F.transform("lines", lambda line, i: F.when(line.rlike("[^\\x20\\x09-\\x0D]"), i)), lambda x: x.isNotNull()))
     both = both.withColumn("gone", F.flatten(F.transform("spans", lambda s: F.slice("filled", s["low"] + 1, s["high"] - s["low"] + 1))))
     whole = F.size("gone") == F.size("filled")
     kept = F.when(F.size("gone") == 0, F.col("lines")).when(whole, F.array().cast("array<string>"))
@@ -152,9 +156,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP6_SQL = f"""
+OP6_SQL = rf"""
 WITH l0 AS (
-  SELECT doc_id, line, line_no, CASE WHEN trim(line, ' ') = '' THEN 0 ELSE length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) + 1 END AS w
+  SELECT doc_id, line, line_no, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL)
 ),
 l AS (SELECT doc_id, line, line_no, w, row_number() OVER o - 1 AS p, sum(w) OVER o AS c FROM l0 WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),

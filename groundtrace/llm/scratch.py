@@ -11,6 +11,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A group with more than this part of the rows is joined by broadcast: fewer than ``HOT_GROUPS`` groups can be so large.
+HOT_GROUPS = 10_000
 
 _LOCAL: list[str] = []
 
@@ -42,9 +46,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by ``materialise`` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for file in df.inputFiles()[:1]:
+            path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def attached(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group, without those that have none. ``groups``: (keys, ``n`` rows of each, ...).
+
+    ``rows`` is a written table. Its largest groups are broadcast, so that none of them is dealt to one task.
+    """
+    hot = groups.filter(F.col("n") > F.lit(rows.count() // HOT_GROUPS + 1))
+    known = F.broadcast(hot.select(*keys))
+    rest = rows.join(known, keys, "left_anti").join(groups.join(known, keys, "left_anti"), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest).drop("n")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from groundtrace.llm import line_dedup, mixing, preferences, secrets
+from groundtrace.llm import line_dedup, mixing, preferences, scratch, secrets
 from groundtrace.llm.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,8 +21,8 @@ def plans_without_python(df):
 def brute_lines(docs, least):
     """doc_id -> kept lines, by looking at every run of every pair of places."""
     order = sorted(docs)
-    filled = {d: [x for x in docs[d].split("\n") if x.strip(" ")] for d in order}
-    count = lambda x: len(x.strip(" ").split(" "))
+    count = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
+    filled = {d: [x for x in docs[d].split("\n") if count(x)] for d in order}
     gone = {d: set() for d in order}
     places = [(d, i) for d in order for i in range(len(filled[d]))]
     for at, (d, i) in enumerate(places):
@@ -38,17 +38,18 @@ def brute_lines(docs, least):
         n = -1
         lines = []
         for x in docs[d].split("\n"):
-            n += bool(x.strip(" "))
-            if not (x.strip(" ") and n in gone[d]):
+            n += bool(count(x))
+            if not (count(x) and n in gone[d]):
                 lines.append(x)
         out[d] = (len(filled[d]), len(gone[d]), "" if gone[d] and len(gone[d]) == len(filled[d]) else "\n".join(lines))
     return out
 
 
-@pytest.mark.parametrize("least", [1, 5, 9])
-def test_line_runs_equal_brute_force(spark, least):
+@pytest.mark.parametrize(("least", "groups"), [(1, 10_000), (5, 10_000), (9, 10_000), (9, 10**9)])
+def test_line_runs_equal_brute_force(spark, monkeypatch, least, groups):
+    monkeypatch.setattr(scratch, "HOT_GROUPS", groups)  # of so many every group is broadcast
     rng = random.Random(least)
-    pool = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 6))) for _ in range(12)] + ["", "   ", "a b c d e f g h i j k"]
+    pool = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 6))) for _ in range(12)] + ["", "   ", "\t\r", "a b c d e f g h i j k", "a\tb\x0bc  d", "a" + 9 * " " + "b\r"]
     docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for i in range(60)}
     docs[60], docs[61], docs[62] = "", docs[3], "a a a\na a a\na a a\na a a"
     rows = line_dedup.split_lines(spark.createDataFrame(sorted(docs.items()), "doc_id bigint, text string"), least)
@@ -68,6 +69,31 @@ def test_dedup_lines_on_odd_rows(spark):
     assert plans_without_python(out)
 
 
+def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    run = "\n".join(f"line {i} of ten" for i in range(15))
+    docs = spark.createDataFrame([(1, f"{run}\none"), (1, f"{run}\ntwo"), (1, f"{run}\ntwo"), (2, run)], "doc_id bigint, text string")
+    got = sorted(((r.row.doc_id, r.row.text[-3:], r.n_deleted) for r in line_dedup.split_lines(docs).collect()), key=str)
+    kept = {(d, t) for d, t, n in got if not n}
+    assert len(got) == 4 and len(kept) == 1 and kept < {(1, "one"), (1, "two")} and {n for _, _, n in got} <= {0, 15}
+
+
+def test_ranks_follow_the_order_of_the_suffixes(spark):
+    """Ranks by 2**k lines against the sorted prefixes of all suffixes that have a twin."""
+    rng = random.Random(3)
+    docs = {i: [rng.choice(["a b", "c d e", "f", "g h"]) for _ in range(rng.randrange(5, 12))] for i in range(12)}
+    frame = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id bigint, text string")
+    _, ranks, _ = line_dedup.suffix_ranks(line_dedup.numbered_lines(frame, 8).cache(), 8)
+    found = {}
+    for r in ranks.collect():
+        found.setdefault(r.k, {}).setdefault(r.rank, set()).add(tuple(docs[r.doc_id][r.pos : r.pos + 2**r.k]))
+    order = {next(iter(v)): rank for rank, v in found[0].items()}
+    for k, groups in found.items():
+        assert all(len(v) == 1 and len(next(iter(v))) == 2**k for v in groups.values())
+        sorted_ = [next(iter(groups[rank])) for rank in sorted(groups)]
+        assert sorted_ == sorted(sorted_, key=lambda prefix: [order[x] for x in prefix])
+    assert max(found) >= 2
+
+
 def levels(sizes):
     """Targets by resharing until none is above its cap."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s) + [s for s in sizes if s is None]
