@@ -1,20 +1,21 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
 A document is its sequence of shingles (five words; all of its words where there are fewer), each labelled
-with its number of occurrence. For each hash function the ``KEPT`` labelled shingles of
+with its number of occurrence. For each of ``FUNCTIONS`` hash functions the ``KEPT`` labelled shingles of
 the least hashes, in the order of the text, make one entry of the sketch: two documents agree in an entry
 if they share these shingles and their order, which falls with edits and with moved blocks. ``ROWS``
-entries make a band; documents that share a band are candidates.
+entries make a band. Two documents are candidates if they share a band and agree in ``LEAST_AGREED`` of all entries;
+that is asked of every pair alike, however many others share the band.
 
-Two candidates are similar if an alignment of their shingles matches m of them with m / (a + b - m) at
-least ``SIMILARITY``: the Jaccard similarity of the shingles that agree in order. That leaves at most
-(a + b) / 9 shingles unmatched, so the alignment is confined to a band of that many diagonals.
+Two candidates are similar if an alignment of their words in order matches m of them with m / (a + b - m) at
+least ``SIMILARITY``. That leaves at most (a + b) / 9 words unmatched, so the alignment is confined to a band
+of that many diagonals. A text of which one word in twenty was changed is similar to what it was before (0.90), though
+a quarter or more of its shingles are others.
 
 Copies of one word sequence are folded into one representative first. In a bucket of a band every
-representative is compared with a pivot, the one that shares most bands with others (and, if ``TURNS`` says
-so, those outside the pivots' components with a few random members of the largest, once or more). At last
-every two members of a bucket that are still in different components are compared if their sketches agree
-enough, so that links between classes aren't lost, and no pairs are made inside a class, however large.
+representative is compared with the bucket's pivot, its least doc_id. Then all members of a bucket that are still in
+different components are compared by their sketches, in blocks of ``BLOCK_MEMBERS`` against as many, and only candidates
+leave a block: no pairs are made inside a class, and no bucket is in one task. A pair is looked at in the first band that it shares.
 Classes are the connected components of all links, found by alternating star contraction.
 
 Defined results: a null text and a text without words are a class of their own; rows with a null doc_id
@@ -24,33 +25,33 @@ document (of different texts under one doc_id, all are compared and all belong t
 
 from __future__ import annotations
 
-from functools import reduce
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundtrace.llm.scratch import discard, materialise
+from groundtrace.llm.scratch import attached, discard, materialise
 from groundtrace.llm.words import U, batch_words, constants, cuts, mix, per_row, powers, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
 KEPT = 2
-#: (entries in a band, bands, hash functions, members up to which a bucket is searched). Two texts of similarity 0.8
-#: agree in an entry with a chance of 0.64 (0.6 where they are very short), so 12 bands of 2 miss 0.2 % of them and
-#: 36 bands of 4 miss 0.1 %; two texts of similarity 0.4, such as share one passage, meet in the latter in 2 % of
-#: cases. The last level has no bound.
-LEVELS = ((2, 12, 24, 64), (4, 36, 600, None))
+#: Entries in a band, and bands. Two texts with a share J of common shingles agree in an entry with a chance of about J * J.
+#: One changed word in 20 leaves J = 0.63 (missed by all bands in 0.1 % of cases), one in 12 J = 0.48 (11 %), one in 10 J = 0.42 (28 %).
+ROWS, BANDS = 2, 40
+FUNCTIONS = ROWS * BANDS
+#: Entries in which candidates agree, of all. At J = 0.48 they agree in 18 on average, at J = 0.2 in 3.
+LEAST_AGREED = 8
 #: Words whose sketches are computed at a time. Bounds the temporary arrays, not the texts.
 BLOCK = 1 << 15
-#: Shingles that a text holds more often than this are aligned by one mask of all their places.
+#: Members of a bucket that are compared with as many others at a time.
+BLOCK_MEMBERS = 128
+#: Words that a text holds more often than this are aligned by one mask of all their places.
 OFTEN = 256
-#: Of each entry of the later level one bit is kept, ``BITS`` of them in an integer, and four bits, ``NIBBLES`` in one.
-#: Two texts of similarity 0.8 agree in a known share of either; those that are ``DEVIATIONS`` below it are not compared.
-BITS, NIBBLES, DEVIATIONS = 60, 16, 3.0
-#: Rounds in which the members of a bucket are compared with pivots, and random pivots of each round after the first.
-TURNS, PIVOTS = 1, 4
+#: Length times band from which an alignment over common rare shingles is tried before the whole band.
+LONG = 1 << 22
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,26 +83,28 @@ def labelled(values: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.where(number > 0, mix(values + number * U(0x9E3779B97F4A7C15)), values)
 
 
-def sketches(keys: np.ndarray, first: np.ndarray, level: int = 0) -> np.ndarray:
-    """Order MinHash: a row for each text (all of them have shingles), a column for each hash function."""
+def sketches(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Order MinHash: a row for each text (all of them have shingles), a column for each hash function.
+
+    A shingle's value is the upper half of its hash, then its place: one minimum gives both.
+    """
     n = len(first) - 1
-    functions = LEVELS[level][2]
-    out = np.empty((n, functions), U)
-    size = np.diff(first)
-    row = np.repeat(np.arange(n), size)
-    flips, factors = constants(functions, 50 + level), constants(functions, 90 + level) | U(1)
-    top = U(0xFFFFFFFFFFFFFFFF)
+    out = np.empty((n, FUNCTIONS), U)
+    few = np.diff(first) < KEPT
+    at = np.arange(len(keys), dtype=U)
+    flips, factors = constants(FUNCTIONS, 50), constants(FUNCTIONS, 90) | U(1)
+    top, upper, lower = U(0xFFFFFFFFFFFFFFFF), U(0xFFFFFFFF00000000), U(0xFFFFFFFF)
     with np.errstate(over="ignore"):
-        for s in range(functions):
-            value = (keys ^ flips[s]) * factors[s]
-            value ^= value >> U(29)
+        for s in range(FUNCTIONS):
+            value = keys ^ flips[s]
+            value *= factors[s]
+            value &= upper
+            value |= at
             places = np.empty((KEPT, n), np.int64)
             for k in range(KEPT):
-                least = np.minimum.reduceat(value, first[:-1])
-                hits = np.flatnonzero(value == least[row])
-                places[k] = hits[np.searchsorted(row[hits], np.arange(n))]
-                value[places[k]] = top
-            few = size < KEPT
+                places[k] = (np.minimum.reduceat(value, first[:-1]) & lower).astype(np.int64)
+                if k == 0:
+                    value[places[k]] = top
             places[1:, few] = places[0, few]
             places.sort(axis=0)
             entry = np.zeros(n, U)
@@ -111,14 +114,13 @@ def sketches(keys: np.ndarray, first: np.ndarray, level: int = 0) -> np.ndarray:
     return out
 
 
-def signatures(texts: pa.Array, level: int = 0) -> tuple[np.ndarray, ...]:
-    """Of each text: its number of shingles, 128 bits of its word sequence, its band keys, a bit and four bits of each entry (zeros where it has no words)."""
-    rows, width, functions, _ = LEVELS[level]
+def signatures(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of each text: its number of words, 128 bits of its word sequence, its band keys, 16 bits of each entry (zeros where it has no words)."""
     words = batch_words(texts)
     n = len(words.first) - 1
-    count, exact, other = np.zeros(n, np.int64), np.zeros(n, U), np.zeros(n, U)
-    bands = np.zeros((n, width), U)
-    packed = [(1, BITS, np.zeros((n, -(-functions // BITS)), U)), (4, NIBBLES, np.zeros((n, -(-functions // NIBBLES)), U))]
+    count = np.diff(words.first).astype(np.int64)
+    exact, other = np.zeros(n, U), np.zeros(n, U)
+    bands, short = np.zeros((n, BANDS), U), np.zeros((n, FUNCTIONS), np.uint16)
     low = 0
     while low < n:
         high = max(low + 1, int(np.searchsorted(words.first, words.first[low] + BLOCK, "right")) - 1)
@@ -133,18 +135,14 @@ def signatures(texts: pa.Array, level: int = 0) -> tuple[np.ndarray, ...]:
                 exact[low + some] = mix(per_row(hashes * base, first, np.add, U(0)))
                 other[low + some] = mix(per_row(mix(hashes + U(1)) * base, first, np.add, U(0)))
                 values, places = shingles(hashes, first)
-                count[low + some] = np.diff(places)
-                entries = sketches(labelled(values, places), places, level)
-                keys = np.zeros((len(some), width), U)
-                for r in range(rows):
-                    keys = mix(keys + entries[:, r : rows * width : rows])
-                for size, each, out in packed:
-                    for k in range(out.shape[1]):
-                        part = (entries[:, k * each : (k + 1) * each] >> U(40)) & U((1 << size) - 1)
-                        out[low + some, k] = (part << (np.arange(part.shape[1], dtype=U) * U(size))).sum(axis=1, dtype=U)
-                bands[low + some] = mix(keys + np.arange(1, width + 1, dtype=U) + U(level << 32))
+                entries = sketches(labelled(values, places), places)
+                keys = np.zeros((len(some), BANDS), U)
+                for r in range(ROWS):
+                    keys = mix(keys + entries[:, r::ROWS])
+                short[low + some] = (entries >> U(48)).astype(np.uint16)
+                bands[low + some] = mix(keys + np.arange(1, BANDS + 1, dtype=U))
         low = high
-    return count, exact, other, bands, *(out for _, _, out in packed)
+    return count, exact, other, bands, short
 
 
 def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -191,8 +189,42 @@ def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return head + tail + rises + wide - row.bit_count()
 
 
+def anchored(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Matched elements of an alignment through the shingles that each text holds once: at most as many as the best one's.
+
+    The longest chain of such shingles in the order of both is found in n log n steps; what lies between them is aligned in bands.
+    """
+    found = []
+    for text in (a, b):
+        values, _ = shingles(text.astype(U), np.array([0, len(text)]))
+        once, at, times = np.unique(values, return_index=True, return_counts=True)
+        found.append((once[times == 1], at[times == 1]))
+    _, left, right = np.intersect1d(found[0][0], found[1][0], assume_unique=True, return_indices=True)
+    here, there = found[0][1][left], found[1][1][right]
+    order = np.argsort(here)
+    here, there = here[order].tolist(), there[order].tolist()
+    ends, last, before = [], [], [-1] * len(there)  # the least end of a chain of each length
+    for i, place in enumerate(there):
+        k = bisect_left(ends, place)
+        before[i] = last[k - 1] if k else -1
+        ends[k : k + 1], last[k : k + 1] = [place], [i]
+    chain, i = [], last[-1] if last else -1
+    while i >= 0:
+        chain.append((here[i], there[i]))
+        i = before[i]
+    total, x, y = 0, 0, 0
+    for p, q in [*reversed(chain), (len(a), len(b))]:
+        if p < x or q < y:
+            continue
+        if p > x and q > y:
+            total += max(0, aligned(a[x:p], b[y:q], min(most, max(p - x, q - y))))
+        total += p < len(a)
+        x, y = p + 1, q + 1
+    return total
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether the shingles of two texts match in order for that share of all."""
+    """Whether the words of two texts match in order for that share of all."""
     n = len(a) + len(b)
     need = int(np.ceil(least * n / (1 + least) - 1e-9))
     if min(len(a), len(b)) < need:
@@ -201,43 +233,62 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     times = np.minimum(np.bincount(inverse[: len(a)], minlength=len(values)), np.bincount(inverse[len(a) :], minlength=len(values)))
     if times.sum() < need:  # no alignment matches more than the two have in common
         return False
-    return aligned(inverse[: len(a)], inverse[len(a) :], n - 2 * need) >= need
+    a, b, most = inverse[: len(a)], inverse[len(a) :], n - 2 * need
+    if n * most > LONG and anchored(a, b, most) >= need:
+        return True
+    return aligned(a, b, most) >= need
 
 
-def _signed(docs: DataFrame, level: int = 0) -> DataFrame:
-    """(doc_id, n, exact, other, bands, bits, nibbles) of each document that has words."""
+def _signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, exact, other, bands, sketch) of each document that has words."""
 
     def sign(texts: pa.Array) -> pa.Array:
-        parts = [signatures(part, level) for part in slices(texts)]
-        count, exact, other, *lists = (np.concatenate(column) for column in zip(*parts, strict=True))
-        plain = [pa.array(count), pa.array(exact.view(np.int64)), pa.array(other.view(np.int64))]
-        for values in lists:
-            offsets = pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32))
-            plain.append(pa.ListArray.from_arrays(offsets, pa.array(values.ravel().view(np.int64))))
-        return pa.StructArray.from_arrays(plain, ["n", "exact", "other", "bands", "bits", "nibbles"])
-
-    kind = "struct<n: bigint, exact: bigint, other: bigint, bands: array<bigint>, bits: array<bigint>, nibbles: array<bigint>>"
+        parts = [signatures(part) for part in slices(texts)]
+        count, exact, other, bands, short = (np.concatenate(column) for column in zip(*parts, strict=True))
+        offsets = pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32))
+        keys = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))
+        data = pa.Array.from_buffers(pa.binary(2 * FUNCTIONS), len(short), [None, pa.py_buffer(np.ascontiguousarray(short))]).cast(pa.binary())
+        return pa.StructArray.from_arrays([pa.array(count), pa.array(exact.view(np.int64)), pa.array(other.view(np.int64)), keys, data], ["n", "exact", "other", "bands", "sketch"])
+
+    kind = "struct<n: bigint, exact: bigint, other: bigint, bands: array<bigint>, sketch: binary>"
     once = F.arrow_udf(sign, kind).asNondeterministic()  # else a filter on its result computes it again, below joins
     signed = docs.select("doc_id", once("text").alias("s"))
     return signed.select("doc_id", "s.*").filter("doc_id IS NOT NULL AND n > 0")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. ``docs``: (doc_id, text, exact) of all that occur in pairs."""
+def _entries(sketch: pa.Array) -> np.ndarray:
+    """A row of 16-bit entries for each sketch of a binary array."""
+    data = np.frombuffer(b"".join(sketch.to_pylist()), np.uint16)
+    return data.reshape(len(sketch), FUNCTIONS)
+
+
+def _fits(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether two texts are of lengths that can be similar."""
+    return np.minimum(n_a, n_b) >= SIMILARITY * np.maximum(n_a, n_b) - 1e-9
+
+
+def _are_candidates() -> Column:
+    """Whether the texts (n_a, sketch_a) and (n_b, sketch_b), which share a band, are candidates."""
+
+    def agree(n_a: pa.Array, n_b: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
+        same = (_entries(one) == _entries(two)).sum(axis=1) >= LEAST_AGREED
+        return pa.array(same & _fits(n_a.to_numpy(), n_b.to_numpy()))
+
+    return F.arrow_udf(agree, "boolean")("n_a", "n_b", "sketch_a", "sketch_b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar. ``texts``: (doc_id, text) of all that occur in pairs."""
 
     def check(left: pa.Array, right: pa.Array) -> pa.Array:
         out = np.zeros(len(left), bool)
         for low, high in cuts(left, right):  # a bounded part of the batch at a time
-            sides = []
-            for texts in (left[low:high], right[low:high]):
-                words = batch_words(texts)
-                sides.append(shingles(words.hash, words.first))
-            (a, first_a), (b, first_b) = sides
+            one, two = batch_words(left[low:high]), batch_words(right[low:high])
             for row in range(high - low):
-                out[low + row] = similar(a[first_a[row] : first_a[row + 1]], b[first_b[row] : first_b[row + 1]])
+                out[low + row] = similar(one.hash[one.first[row] : one.first[row + 1]], two.hash[two.first[row] : two.first[row + 1]])
         return pa.array(out)
 
-    both = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", F.arrow_udf(check, "boolean")("text_a", "text_b").alias("same")).filter("same").select("a", "b")
 
 
@@ -256,7 +307,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")  # no centre here: a's links lead to lesser nodes
         after = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         after = materialise(after.filter("a <> b").distinct(), "links")
-        discard(links.sparkSession, links)
+        discard(links, least)
         links = after
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.when(F.col("a") < F.col("b"), 1).otherwise(0))).first()
         if now == before:
@@ -264,79 +315,61 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """``shared`` (bucket, doc_id, n, sketch, score) with the root of each member's component, in buckets of more than one component."""
-    roots = components(found)
-    placed = shared.join(roots, shared["doc_id"] == roots["node"], "left").select("bucket", "doc_id", "n", "sketch", "score", F.coalesce("root", "doc_id").alias("root"))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
-    return materialise(placed.join(open_, "bucket"), "placed")
-
-
-def _fits(n_a: str, n_b: str) -> Column:
-    """Whether two texts are of lengths that can be similar."""
-    return F.least(n_a, n_b) >= SIMILARITY * F.greatest(n_a, n_b)
-
-
-def _to_pivots(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member with the pivots of its bucket that are in other components.
-
-    Pivots: the member with the highest score first, then random ones of the largest component.
-    """
-    if turn == 0:
-        chosen = [F.max(F.struct("score", "doc_id", "n", "root")).alias("p0")]
-        pivots = placed.groupBy("bucket").agg(*chosen)
-    else:
-        sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("members")).groupBy("bucket").agg(F.max(F.struct("members", "root")).alias("top"))
-        main = placed.join(sizes.select("bucket", F.col("top.root").alias("main")), "bucket").filter("root = main")
-        pivots = main.groupBy("bucket").agg(*[F.max(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "doc_id").alias("score"), "doc_id", "n", "root")).alias(f"p{k}") for k in range(PIVOTS)])
-    names = [c for c in pivots.columns if c != "bucket"]
-    pivots = pivots.select("bucket", F.explode_outer(F.array_distinct(F.array(*names))).alias("p")).select("bucket", F.col("p.doc_id").alias("b"), F.col("p.n").alias("n_b"), F.col("p.root").alias("root_b"))
-    both = placed.select("bucket", F.col("doc_id").alias("a"), "n", "root").join(pivots, "bucket").filter(F.col("root") != F.col("root_b")).filter(_fits("n", "n_b"))
-    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-
-
-def _alike() -> Column:
-    """Whether the sketches agree as far as those of similar texts do; true where there are none.
-
-    Similar texts of N shingles in all have m = 0.8 / 1.8 N in common of U = N - m; they agree in an entry with a
-    chance of p = m (m - 1) / (U (U - 1)), in one bit of it of p + (1 - p) / 2, in four of p + (1 - p) / 16.
-    """
-    functions = LEVELS[-1][2]
-    total = (F.col("n_a") + F.col("n_b")).cast("double")
-    m, u = SIMILARITY / (1 + SIMILARITY) * total, total / (1 + SIMILARITY)
-    p = F.greatest(F.lit(0.0), m * (m - 1) / F.greatest(u * (u - 1), F.lit(1e-9)))
-
-    def most_unlike(values: int) -> Column:
-        share = p + (1 - p) / values
-        return functions * (1 - share + DEVIATIONS * F.sqrt(share * (1 - share) / functions))
-
-    unlike_bits = sum(F.bit_count(F.get("sketch_a.bits", F.lit(k)).bitwiseXOR(F.get("sketch_b.bits", F.lit(k)))) for k in range(-(-functions // BITS)))
-
-    def differing(a: Column, b: Column) -> Column:
-        x = a.bitwiseXOR(b)
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-    unlike_nibbles = F.aggregate(F.zip_with("sketch_a.nibbles", "sketch_b.nibbles", differing), F.lit(0), lambda s, x: s + x)
-    known = F.col("sketch_a").isNotNull() & F.col("sketch_b").isNotNull()
-    return F.when(known, (unlike_bits <= most_unlike(2)) & (unlike_nibbles <= most_unlike(16))).otherwise(True)
-
-
-def _rest(placed: DataFrame) -> DataFrame:
-    """All pairs of members of a bucket in different components whose sketches agree: one of them isn't in the largest."""
-    counted = placed.groupBy("bucket", "root").agg(F.count("*").alias("members"))
-    main = counted.groupBy("bucket").agg(F.max(F.struct("members", "root")).alias("top")).select("bucket", F.col("top.root").alias("main"))
-    open_ = placed.join(main, "bucket")
-    one = open_.filter("root <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
-    two = open_.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"), "main")
-    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") > F.col("b")))
-    return one.join(two, "bucket").filter(apart & _fits("n_a", "n_b") & _alike()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-
-
-def _texts(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The texts of all documents in ``entries``: the only time that the corpus's texts are shuffled."""
-    return materialise(docs.join(entries.select("doc_id").distinct(), "doc_id").filter("text IS NOT NULL").dropDuplicates(["doc_id", "text"]), "texts")
+def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct candidates (a, b) whose texts are similar. Only texts that occur in them are shuffled."""
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialise(docs.filter("text IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    links = materialise(_verified(pairs, texts).distinct(), "found")
+    discard(pairs, texts)
+    return links
+
+
+def _to_pivots(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """Candidates among the pairs of each member of a bucket with its pivot. ``shared``: (bucket, doc_id, pivot)."""
+    pairs = shared.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    one = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    two = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    return pairs.join(one, "a").join(two, "b").filter(_are_candidates()).select("a", "b").distinct()
+
+
+def _in_blocks(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates among the members of each bucket that are in different components and none of which is its pivot; the table that they read."""
+    own = materialise(shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
+    several = own.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    several = several.select("bucket", "n", F.ceil(F.col("n") / BLOCK_MEMBERS).alias("slices"))
+    members = attached(own, several, ["bucket"]).filter("doc_id <> pivot").join(reps.select("doc_id", F.col("n").alias("words"), "sketch"), "doc_id")
+    member = F.struct("doc_id", "root", "words", "sketch")
+    blocks = members.groupBy("bucket", "slices", F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.col("slices")).alias("slice"))
+    blocks = materialise(blocks.agg(F.first("band").alias("band"), F.collect_list(member).alias("members")), "blocks")
+    discard(own)
+    # both sides of a pair of blocks are dealt by the pair, so that a bucket of many blocks is in many tasks
+    left = blocks.select("bucket", "band", "slice", F.explode(F.sequence(F.col("slice"), F.col("slices") - 1)).alias("other"), F.col("members").alias("left"))
+    right = blocks.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slice"))).alias("slice"), F.col("slice").alias("other"), F.col("members").alias("right"))
+
+    def compare(band: pa.Array, same: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+        out = [block_candidates(*row) for row in zip(band.to_pylist(), same.to_pylist(), left, right, strict=True)]
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+    found = F.arrow_udf(compare, "array<struct<a: bigint, b: bigint>>")("band", F.col("slice") == F.col("other"), "left", "right")
+    both = left.join(right, ["bucket", "slice", "other"]).select(F.explode(found).alias("p")).select("p.*")
+    return both, blocks
+
+
+def block_candidates(band: int, same: bool, left: pa.Scalar, right: pa.Scalar) -> list[dict[str, int]]:
+    """Candidates between two blocks of a bucket, the same one perhaps, in the first band that they share."""
+    one, two = left.values, right.values
+    ids, others = one.field("doc_id").to_numpy(), two.field("doc_id").to_numpy()
+    roots, sizes, entries = two.field("root").to_numpy(), two.field("words").to_numpy(), _entries(two.field("sketch"))
+    out = []
+    for at, (root, size, entry) in enumerate(zip(one.field("root").to_pylist(), one.field("words").to_numpy(), _entries(one.field("sketch")), strict=True)):
+        low = at + 1 if same else 0
+        hits = low + np.flatnonzero((roots[low:] != root) & _fits(sizes[low:], size))
+        agreed = entries[hits] == entry
+        first = agreed.reshape(len(hits), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        hits = hits[(agreed.sum(axis=1) >= LEAST_AGREED) & (first == band)]
+        out += [{"a": max(ids[at], b), "b": min(ids[at], b)} for b in others[hits].tolist()]
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -346,38 +379,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     exact = signed.groupBy("exact", "other").agg(F.min("doc_id").alias("rep"))
     members = materialise(signed.select("doc_id", "exact", "other").distinct().join(exact, ["exact", "other"]).select("doc_id", "rep", "exact", "other"), "members")
     reps = members.filter("doc_id = rep").select("doc_id", "exact", "other").join(signed, ["doc_id", "exact", "other"])
-    reps = reps.select("doc_id", "n", "bands", F.lit(None).cast("struct<bits: array<bigint>, nibbles: array<bigint>>").alias("sketch"))
-    sized, level, texts = [], 0, None
-    while True:
-        entries = reps.select("doc_id", "n", "sketch", F.explode_outer(F.array_distinct("bands")).alias("bucket")).distinct()
-        buckets = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-        own, most = materialise(entries.join(buckets, "bucket"), "sized"), LEVELS[level][3]
-        crowded = None if most is None else own.filter(F.col("size") > most).select("doc_id").distinct()
-        sized.append(own if most is None else own.filter(F.col("size") <= most))
-        if most is None or crowded.isEmpty():
-            break
-        if texts is None:
-            texts = _texts(docs, own)
-        level += 1
-        reps = _signed(texts.join(crowded, "doc_id"), level).select("doc_id", "n", "bands", F.struct("bits", "nibbles").alias("sketch"))
-    shared = reduce(DataFrame.unionByName, sized)
-    scores = shared.groupBy(F.col("doc_id").alias("of")).agg(F.sum("size").alias("score"))
-    shared = materialise(shared.drop("size").join(scores, F.col("doc_id") == F.col("of")).drop("of"), "shared")
-    wanted = _texts(docs, shared) if texts is None else texts
-    tried = found = None
-    placed = shared.withColumn("root", F.col("doc_id"))
-    for turn in range(TURNS + 1):
-        pairs = (_to_pivots(placed, turn) if turn < TURNS else _rest(placed)).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(_verified(pairs, wanted), "found")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = more if found is None else found.unionByName(more)
-        if turn < TURNS:
-            placed = _placed(shared if turn == 0 else placed.drop("root"), found)
-    links = found.unionByName(members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    final = components(links)
-    every = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    return every.join(final, every["doc_id"] == final["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    reps = materialise(reps.dropDuplicates(["doc_id", "exact", "other"]).select("doc_id", "n", "sketch", "bands"), "reps")
+    entries = materialise(reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")), "entries")
+    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1")
+    shared = materialise(attached(entries, buckets, ["bucket"]), "shared")
+    discard(signed, entries)
+    links = _linked(_to_pivots(shared, reps), docs)
+    roots = components(links)
+    more, blocks = _in_blocks(shared, roots, reps)
+    more = _linked(more.distinct(), docs)
+    discard(shared, reps, blocks)
+    every = links.unionByName(more).unionByName(members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    final = components(every)
+    discard(links, more, members)
+    own = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    return own.join(final, own["doc_id"] == final["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from groundtrace.llm import decontamination, language, near_dedup, toxicity, words
+from groundtrace.llm import decontamination, language, near_dedup, scratch, toxicity, words
+from groundtrace.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -122,10 +123,8 @@ def test_banded_alignment(monkeypatch, often):
 
 
 def brute_classes(texts):
-    grams = []
-    for t in texts:
-        own = plain(t)
-        grams.append([tuple(own[p : p + 5]) for p in range(len(own) - 4)] if len(own) >= 5 else [tuple(own)] if own else [])
+    """The least number of each text's class, by the longest common subsequence of the words of every pair."""
+    grams = [plain(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -136,7 +135,7 @@ def brute_classes(texts):
     for i, a in enumerate(grams):
         for j in range(i):
             b = grams[j]
-            if a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+            if a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and find(i) != find(j) and len({*a} & {*b}) >= 0.5 * len({*a} | {*b}):
                 m = common_subsequence(a, b)
                 if m / (len(a) + len(b) - m) >= 0.8:
                     x, y = sorted((find(i), find(j)))
@@ -144,40 +143,65 @@ def brute_classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def near_copies():
+    """Exact and near copies in groups, a passage that many share, a text in another order, odd texts."""
     rng = random.Random(11)
     texts = [*ODD, "one two", "one TWO", "one three"]
     for size in (1, 3, 8, 30):
-        base = plain(prose(rng, rng.choice((12, 60, 90)), 5000))
+        base = plain(prose(rng, rng.choice((60, 90)), 5000))
         for k in range(size):
             own = list(base)
-            for _ in range(k % 3):
+            for _ in range(k % 4):
                 own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
             texts.append(" ".join(own) + "." * (k % 2))
-    passage = prose(rng, 30, 5000)
-    texts += [f"{prose(rng, 25, 5000)} {passage} {prose(rng, 25, 5000)}" for _ in range(30)]
+    passage = prose(rng, 40, 5000)
+    texts += [f"{prose(rng, 15, 5000)} {passage} {prose(rng, 15, 5000)}" for _ in range(40)]
+    chain = plain(prose(rng, 80, 5000))
+    for k in range(12):  # neighbours are similar, the ends are not
+        chain = chain[7:] + plain(prose(rng, 7, 5000))
+        texts.append(" ".join(chain))
     blocks = [prose(rng, 20, 5000) for _ in range(4)]
-    texts += [" ".join(blocks), " ".join(blocks[::-1])]
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
-    expected = brute_classes(texts)
-    missed = sum(got[i] != expected[i] for i in range(len(texts)))
-    assert missed <= 1 and all(expected[got[i]] == expected[i] for i in got)
-
-
-def test_crowded_buckets_go_to_the_next_level(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LEVELS", ((2, 12, 24, 3), (4, 36, 600, None)))
-    rng = random.Random(13)
-    base, passage = plain(prose(rng, 70, 5000)), prose(rng, 40, 5000)
-    texts = []
-    for k in range(25):
-        own = list(base)
-        own[k * 2] = f"e{k}"
-        texts.append(" ".join(own))
-    texts += [f"{prose(rng, 20, 5000)} {passage} {prose(rng, 20, 5000)}" for _ in range(25)]
+    return [*texts, " ".join(blocks), " ".join(blocks[::-1])]
+
+
+@pytest.mark.parametrize(("members", "groups"), [(128, 10_000), (3, 10**9)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, members, groups):
+    """Neither the size of blocks nor how hot buckets are joined changes a class."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(scratch, "HOT_GROUPS", groups)
+    texts = near_copies()
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
-    assert [got[i] for i in range(50)] == brute_classes(texts)
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
     kept = near_dedup.drop_near_duplicates(documents(spark, texts))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == documents(spark, []).columns
+
+
+def test_op2_finds_the_near_copies_of_the_table(spark):
+    """The registered query against all pairs of the smallest table: none too many, nine of ten links at least."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    expected = brute_classes([r.text for r in rows])
+    out = QUERIES["op2_near_dedup"](spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "class_id", "kept"]
+    got = {r.doc_id: r.class_id for r in out.collect()}
+    place = {r.doc_id: i for i, r in enumerate(rows)}
+    linked = [i for i in range(len(rows)) if expected[i] != i]
+    found = [i for i in linked if got[rows[i].doc_id] != rows[i].doc_id]
+    assert linked and len(found) >= 0.9 * len(linked)
+    assert all(expected[place[c]] == expected[place[d]] for d, c in got.items())
+
+
+def test_alignment_over_rare_shingles():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a = rng.integers(0, 200, rng.integers(1, 90))
+        b = np.delete(a, rng.integers(0, len(a), len(a) // 9))
+        b[rng.random(len(b)) < 0.05] = 777
+        assert near_dedup.anchored(a, b, len(a) + len(b)) <= common_subsequence(a.tolist(), b.tolist())
+    long = rng.integers(0, 50_000, 400_000)
+    changed = long.copy()
+    changed[rng.random(len(long)) < 0.04] = 99_999
+    assert near_dedup.anchored(long, changed, 80_000) >= 0.95 * len(long)
+    assert near_dedup.similar(long, changed) and not near_dedup.similar(long, rng.permutation(long)[:300_000])
 
 
 def test_near_duplicates_of_odd_tables(spark):
