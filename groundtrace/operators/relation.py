@@ -42,20 +42,24 @@ def gap_relevance(gaps: DataFrame, constraints: DataFrame, targets: DataFrame) -
     return rows.withColumns({"unresolved": unresolved, "possible_outside": F.col("classification") != "covered", "reason": F.when(unresolved, named).otherwise("GAP_BOUND_DISJOINT")})
 
 
-def relations(tracks: DataFrame, fragments: DataFrame, relevance: DataFrame, targets: DataFrame) -> DataFrame:
-    """(track_id, target_id, status, assessable, relation, completeness, reason) of each of ``tracks`` (track_id) with each target.
+def relations(tracks: DataFrame, fragments: DataFrame, gaps: DataFrame, constraints: DataFrame, targets: DataFrame) -> DataFrame:
+    """(track_id, target_id, status, assessable, relation, completeness, reason) of each of ``tracks`` (track_id) with each valid target.
 
     ``fragments`` are those of usable edges. A pair one edge of which can't be told exactly has that edge's status
-    and nothing else: the first one in the order of the track.
+    and nothing else: the first one in the order of the track. Gaps are folded to two facts a track before they meet
+    targets: a gap is relevant unless its bound is apart, and the only bound, the whole domain, never is.
     """
-    pairs = tracks.select("track_id").distinct().crossJoin(shared_ids(targets))
+    bounded = constraints.select("track_id", "gap_index", F.lit(True).alias("bounded"))
+    open_ = gaps.join(bounded, ["track_id", "gap_index"], "left").groupBy("track_id").agg(F.lit(True).alias("relevant"), F.max(F.col("bounded").isNull()).alias("unbounded"), F.max(F.coalesce("bounded", F.lit(False))).alias("bounded"))
+    known = tracks.select("track_id").distinct().join(open_, "track_id", "left")
+    pairs = known.crossJoin(shared_ids(world_relation(targets)))
     facts = fragments.groupBy("track_id", "target_id").agg(
         F.max("covered").alias("inside"),
         F.max(~F.col("covered")).alias("outside"),
         F.min(F.when(F.col("status") != "OK", F.struct("part_index", "edge_index", "status"))).alias("failed"),
     )
-    doubts = relevance.groupBy("track_id", "target_id").agg(F.max("unresolved").alias("relevant"), F.max("possible_outside").alias("maybe_outside"))
-    rows = pairs.join(facts, ["track_id", "target_id"], "left").join(doubts, ["track_id", "target_id"], "left")
+    rows = pairs.join(facts, ["track_id", "target_id"], "left")
+    rows = rows.withColumn("maybe_outside", F.col("unbounded") | (F.col("bounded") & (F.col("bound_relation") != "covered")))
     rows = rows.fillna(False, ["inside", "outside", "relevant", "maybe_outside"])
     ok, some = F.col("failed").isNull(), F.col("inside") | F.col("outside")
     relation = (
@@ -75,6 +79,13 @@ def relations(tracks: DataFrame, fragments: DataFrame, relevance: DataFrame, tar
     )
 
 
+def refused(tracks: DataFrame, issues: DataFrame) -> DataFrame:
+    """The pairs of each track with the targets that aren't valid: their code (target_id, code) is the outcome, nothing is told."""
+    pairs = tracks.select("track_id").distinct().crossJoin(shared_ids(issues))
+    nothing = [F.lit(None).cast(kind).alias(n) for n, kind in (("assessable", "boolean"), ("relation", "string"), ("completeness", "string"), ("reason", "string"))]
+    return pairs.select("track_id", "target_id", F.col("code").alias("status"), *nothing)
+
+
 def uncertainties(relevance: DataFrame) -> DataFrame:
     """The unresolved gaps of each pair, with open ends as nulls."""
     return relevance.filter("unresolved").select("track_id", "target_id", "gap_index", "start", "end", "kind", "causes", "classification", F.col("reason").alias("relevance"))

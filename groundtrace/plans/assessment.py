@@ -1,6 +1,7 @@
 """The whole assessment of tracks against targets, one DataFrame for each of its tables.
 
-Nothing runs before an action; ``persist`` keeps the tables that others read more than once.
+Building a table that meets targets reads the targets, block by block; all else runs with an action. ``persist`` keeps the
+tables that others read more than once. Targets that are not valid are never clipped: each of their pairs has their code as its outcome.
 """
 
 from __future__ import annotations
@@ -12,13 +13,28 @@ from pyspark.sql import functions as F
 
 from groundtrace.operators import clip, entities, normalize, quality, relation, temporal
 from groundtrace.operators.quality import Policy
+from groundtrace.sources import targets as areas
 
 
 class Assessment:
     """N tracks (samples) against M targets under one policy."""
 
     def __init__(self, samples: DataFrame, targets: DataFrame, policy: Policy, parts: DataFrame | None = None) -> None:
-        self.samples, self.targets, self.policy, self.parts = samples, targets, policy, parts
+        self.samples, self.given, self.policy, self.parts = samples, targets, policy, parts
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        """All targets with the code of what is wrong with them, null for valid ones."""
+        return areas.judged(self.given).persist()
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return self.judged.filter("code IS NULL").drop("code")
+
+    @cached_property
+    def refused(self) -> DataFrame:
+        """(target_id, code) of the targets that aren't valid."""
+        return self.judged.filter("code IS NOT NULL").select("target_id", "code")
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -70,12 +86,18 @@ class Assessment:
     @cached_property
     def relations(self) -> DataFrame:
         positioned = self.samples.filter("lon IS NOT NULL AND lat IS NOT NULL")
-        return relation.relations(positioned, self.fragments, self.relevance, self.targets)
+        told = relation.relations(positioned, self.fragments, self.gaps, self.constraints, self.targets)
+        return told.unionByName(relation.refused(positioned, self.refused))
 
     @cached_property
     def uncertainties(self) -> DataFrame:
         return relation.uncertainties(self.relevance)
 
+    @cached_property
+    def unscreened(self) -> DataFrame:
+        """Edges that are usable without having passed the screening."""
+        return quality.edge_diagnostics(self.decided)
+
     @cached_property
     def segments(self) -> DataFrame:
         return entities.segments(self.fragments, self.stationary, self.usable)

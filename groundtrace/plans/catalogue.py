@@ -169,9 +169,8 @@ def q18_ring_closed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     bool_or((bx - ax) * (lat - ay) - (by - ay) * (lon - ax) = 0 AND lon BETWEEN least(ax, bx) AND greatest(ax, bx) AND lat BETWEEN least(ay, by) AND greatest(ay, by))
     OR sum(CASE WHEN (ay > lat) <> (by > lat) AND lon < (bx - ax) * (lat - ay) / nullif(by - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1 AS covered FROM obs , segs GROUP BY ALL""")
 def q19_point_in_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assessment(spark, sf_dir).observations.crossJoin(areas.shared(areas.prepared(areas.catalogue(spark))))
-    covered = clipping.point_covered(F.col("lon"), F.col("lat"), F.flatten(F.flatten("polys")))
-    return _long(rows, "part_index", "observation_index").select("track_id", "part_index", "observation_index", "target_id", covered.alias("covered"))
+    a = assessment(spark, sf_dir)
+    return _long(clipping.covered_points(a.observations, a.targets), "part_index", "observation_index").select("track_id", "part_index", "observation_index", "target_id", "covered")
 
 
 def _fragments(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Targets and ring segments up to which the table is sent to every executor; beyond, the join is left to the planner.
-BROADCAST_TARGETS, BROADCAST_SEGMENTS = 10_000, 1_000_000
+#: Targets up to which a table of one small row for each is sent to every executor; beyond, the join is left to the planner.
+BROADCAST_TARGETS = 10_000
+#: Boxes that are compared with their neighbours at a time, and relative rounding of a difference of two products.
+BOXES_AT_ONCE, DOUBT = 256, 2e-15
 
 #: The targets of the catalogue's queries, on the grid of ``sources.events``.
 CATALOGUE = {
@@ -71,12 +76,6 @@ def prepared(targets: DataFrame) -> DataFrame:
     return rows.withColumn("box", box)
 
 
-def shared(prepared_targets: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if its counted size allows, else without."""
-    n, segments = prepared_targets.agg(F.count("*"), F.coalesce(F.sum(F.size(F.flatten(F.flatten("polys")))), F.lit(0))).first()
-    return F.broadcast(prepared_targets) if n <= BROADCAST_TARGETS and segments <= BROADCAST_SEGMENTS else prepared_targets
-
-
 def shared_ids(rows: DataFrame) -> DataFrame:
     """A table of one small row for each target, broadcast if its counted size allows."""
     return F.broadcast(rows) if rows.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS else rows
@@ -117,70 +116,136 @@ def _meets(a: tuple, b: tuple, c: tuple, d: tuple) -> tuple[bool, bool]:
     return True, sides[0] * sides[1] < 0 and sides[2] * sides[3] < 0
 
 
-def _side(point: tuple, ring: list[tuple]) -> int:
-    """1 inside, 0 on, -1 outside."""
-    inside = False
-    for a, b in zip(ring, ring[1:], strict=False):
-        if _cross(a, b, point) == 0 and min(a[0], b[0]) <= point[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= point[1] <= max(a[1], b[1]):
-            return 0
-        if (a[1] > point[1]) != (b[1] > point[1]) and (_cross(a, b, point) > 0) == (b[1] > a[1]):
-            inside = not inside
-    return 1 if inside else -1
+def _meeting(boxes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of boxes (min_x, min_y, max_x, max_y) that meet, by a sweep from west to east."""
+    order = np.argsort(boxes[:, 0], kind="stable")
+    west, south, east, north = boxes[order].T
+    for low in range(0, len(order), BOXES_AT_ONCE):
+        high = min(low + BOXES_AT_ONCE, len(order))
+        last = int(np.searchsorted(west, east[low:high].max(), "right"))
+        meet = (west[low:last] <= east[low:high, None]) & (south[low:last] <= north[low:high, None]) & (north[low:last] >= south[low:high, None])
+        one, two = np.nonzero(meet)
+        later = two > one
+        yield from zip(order[low + one[later]].tolist(), order[low + two[later]].tolist(), strict=True)
+
+
+def _boxes(ends: np.ndarray) -> np.ndarray:
+    """Boxes of segments (ax, ay, bx, by)."""
+    return np.concatenate([np.minimum(ends[:, :2], ends[:, 2:]), np.maximum(ends[:, :2], ends[:, 2:])], axis=1)
+
+
+class _Ring(NamedTuple):
+    polygon: int
+    hole: bool
+    points: list[tuple[Fraction, Fraction]]  # the last one is the first
+    ends: np.ndarray  # a row (ax, ay, bx, by) for each segment
+    box: np.ndarray
+
+
+def _ring(polygon: int, number: int, points: list) -> _Ring:
+    plain = np.array(points, float)
+    box = np.concatenate([plain.min(axis=0), plain.max(axis=0)])
+    return _Ring(polygon, number > 0, [(Fraction(x), Fraction(y)) for x, y in points], np.concatenate([plain[:-1], plain[1:]], axis=1), box)
 
 
-def _within(inner: list[tuple], outer: list[tuple]) -> bool:
+def _exact_place(point: tuple[Fraction, Fraction], ring: _Ring) -> int:
+    """1 inside, 0 on, -1 outside."""
+    x, y = point
+    turns = 0  # how often the ring winds around the point
+    for (ax, ay), (bx, by) in zip(ring.points, ring.points[1:], strict=False):
+        side = _cross((ax, ay), (bx, by), point)
+        if side == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return 0
+        if ay <= y < by and side > 0:
+            turns += 1
+        elif by <= y < ay and side < 0:
+            turns -= 1
+    return 1 if turns else -1
+
+
+def _places(inner: _Ring, outer: _Ring) -> set[int]:
+    """Where the corners of a ring and the middles of its sides lie in another one: 1 inside, 0 on, -1 outside. Doubles first."""
+    corners, middles = inner.ends[:, :2], (inner.ends[:, :2] + inner.ends[:, 2:]) / 2
+    exact = [*inner.points[:-1], *(((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for a, b in zip(inner.points, inner.points[1:], strict=False))]
+    ax, ay, bx, by = outer.ends.T
+    out: set[int] = set()
+    for at, (x, y) in enumerate(np.concatenate([corners, middles]).tolist()):
+        p, q = (bx - ax) * (y - ay), (by - ay) * (x - ax)
+        if (np.abs(p - q) <= DOUBT * (np.abs(p) + np.abs(q) + 360)).any():
+            out.add(_exact_place(exact[at], outer))
+        else:
+            out.add(1 if (((ay > y) != (by > y)) & ((p > q) == (by > ay))).sum() % 2 else -1)
+        if {1, -1} <= out:
+            break
+    return out
+
+
+def _within(inner: _Ring, outer: _Ring) -> bool:
     """Whether no point of a ring is outside another that it doesn't cross."""
-    sides = [_side(p, outer) for p in inner] + [_side(((a[0] + b[0]) / 2, (a[1] + b[1]) / 2), outer) for a, b in zip(inner, inner[1:], strict=False)]
-    return -1 not in sides and 1 in sides
+    if (inner.box[:2] < outer.box[:2]).any() or (inner.box[2:] > outer.box[2:]).any():
+        return False
+    places = _places(inner, outer)
+    return -1 not in places and 1 in places
+
+
+def _crossed(rings: list[_Ring]) -> bool:
+    """Whether two segments cross or overlap, or touch within one ring without being neighbours."""
+    at = [(r, k) for r, ring in enumerate(rings) for k in range(len(ring.ends))]
+    for i, j in _meeting(_boxes(np.concatenate([ring.ends for ring in rings]))):
+        (r, k), (s, m) = sorted((at[i], at[j]))
+        touch, cross = _meets(*rings[r].points[k : k + 2], *rings[s].points[m : m + 2])
+        beside = r == s and (m == k + 1 or (k == 0 and m == len(rings[r].ends) - 1))
+        if cross or (touch and r == s and not beside):
+            return True
+    return False
+
+
+def _misplaced(rings: list[_Ring]) -> bool:
+    """Whether a hole isn't in its polygon, holes of a polygon lie in each other, or a polygon lies in another's inside."""
+    outers = {ring.polygon: ring for ring in rings if not ring.hole}
+    holes: dict[int, list[_Ring]] = {}
+    for ring in rings:
+        if ring.hole:
+            holes.setdefault(ring.polygon, []).append(ring)
+            if not _within(ring, outers[ring.polygon]):
+                return True
+    for i, j in _meeting(np.array([ring.box for ring in rings])):
+        one, two = rings[i], rings[j]
+        if one.hole and two.hole and one.polygon == two.polygon and (_within(one, two) or _within(two, one)):
+            return True
+        if not one.hole and not two.hole:
+            for inner, outer in ((one, two), (two, one)):
+                if _within(inner, outer) and not any(_within(inner, hole) for hole in holes.get(outer.polygon, ())):
+                    return True
+    return False
 
 
 def topology_code(geometry: str) -> str | None:
-    """Null for a valid target, else what is wrong with it. A target is small: its rings are compared in pairs."""
+    """Null for a valid target, else what is wrong with it."""
     try:
         shape = json.loads(geometry)
         many = {"Polygon": lambda c: [c], "MultiPolygon": lambda c: c}[shape["type"]](shape["coordinates"])
-        exact = [[[(Fraction(x), Fraction(y)) for x, y in ring] for ring in polygon] for polygon in many]
+        if not many or any(not polygon for polygon in many):
+            return "TARGET_SCHEMA_INVALID"
+        for x, y in (point for polygon in many for ring in polygon for point in ring):
+            if type(x) not in (int, float) or type(y) not in (int, float) or not (abs(x) <= 180 and abs(y) <= 90):
+                return "TARGET_SCHEMA_INVALID"
     except (ValueError, KeyError, TypeError, OverflowError):
         return "TARGET_SCHEMA_INVALID"
-    if not exact or any(not polygon for polygon in exact):
-        return "TARGET_SCHEMA_INVALID"
-    for polygon in exact:
-        for ring in polygon:
-            if any(not (-180 <= x <= 180 and -90 <= y <= 90) for x, y in ring):
-                return "TARGET_SCHEMA_INVALID"
-            if len(ring) < 4 or ring[0] != ring[-1]:
-                return "TARGET_RING_NOT_CLOSED"
-    rings = [(p, r, ring) for p, polygon in enumerate(exact) for r, ring in enumerate(polygon)]
-    for _, _, ring in rings:
-        own = list(zip(ring, ring[1:], strict=False))
-        if any(a == b for a, b in own) or sum(a[0] * b[1] - b[0] * a[1] for a, b in own) == 0:
-            return "TARGET_TOPOLOGY_INVALID"
-        for i, (a, b) in enumerate(own):
-            for j in range(i + 1, len(own)):
-                c, d = own[j]
-                touch, cross = _meets(a, b, c, d)
-                beside = j == i + 1 or (i == 0 and j == len(own) - 1)
-                if cross or (touch and not beside):
-                    return "TARGET_TOPOLOGY_INVALID"
-    for i, (p, r, ring) in enumerate(rings):
-        for q, s, other in rings[i + 1 :]:
-            if any(_meets(a, b, c, d)[1] for a, b in zip(ring, ring[1:], strict=False) for c, d in zip(other, other[1:], strict=False)):
-                return "TARGET_TOPOLOGY_INVALID"
-            if p == q and r == 0:
-                wrong = not _within(other, ring)
-            elif p == q:
-                wrong = _within(other, ring) or _within(ring, other)
-            elif r == 0 and s == 0:
-                holes = lambda k: [h for m, t, h in rings if m == k and t > 0]
-                wrong = (_within(other, ring) and not any(_within(other, h) for h in holes(p))) or (_within(ring, other) and not any(_within(ring, h) for h in holes(q)))
-            else:
-                wrong = False
-            if wrong:
-                return "TARGET_TOPOLOGY_INVALID"
-    return None
+    if any(len(ring) < 4 or ring[0] != ring[-1] for polygon in many for ring in polygon):
+        return "TARGET_RING_NOT_CLOSED"
+    rings = [_ring(p, r, ring) for p, polygon in enumerate(many) for r, ring in enumerate(polygon)]
+    flat = any(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring.points, ring.points[1:], strict=False)) == 0 for ring in rings)
+    standing = any((ring.ends[:, :2] == ring.ends[:, 2:]).all(axis=1).any() for ring in rings)
+    return "TARGET_TOPOLOGY_INVALID" if flat or standing or _crossed(rings) or _misplaced(rings) else None
+
+
+def judged(targets: DataFrame) -> DataFrame:
+    """``targets`` (target_id, geometry) with ``code``, null where they are valid."""
+    check = F.arrow_udf(lambda texts: pa.array([topology_code(t.as_py()) if t.as_py() is not None else "TARGET_SCHEMA_INVALID" for t in texts], pa.string()), "string")
+    return targets.select("target_id", "geometry", check.asNondeterministic()("geometry").alias("code"))  # so that a filter on it doesn't compute it again
 
 
 def target_issues(targets: DataFrame) -> DataFrame:
     """(target_id, code) of invalid targets."""
-    check = F.arrow_udf(lambda texts: pa.array([topology_code(t.as_py()) if t.as_py() is not None else "TARGET_SCHEMA_INVALID" for t in texts], pa.string()), "string")
-    return targets.select("target_id", check("geometry").alias("code")).filter("code IS NOT NULL")
+    return judged(targets).filter("code IS NOT NULL").select("target_id", "code")

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from helpers import assess, polygon, rectangle, samples, targets
+from helpers import assess, multi, polygon, rectangle, samples, targets
 from pyspark.sql import functions as F
 
 from groundtrace.functions import canonical, geodesy, scalars
@@ -134,6 +134,36 @@ def test_target_validation(spark):
     assert [(r.ring, r.positions, r.closed) for r in closed] == [(0, 5, True), (1, 5, True)]
 
 
+def test_invalid_targets_are_refused_pair_by_pair(spark):
+    shapes = targets(spark, good=SQUARE, bow=polygon([[0, 0], [1, 1], [1, 0], [0, 1], [0, 0]]), far=polygon(rectangle(0, 0, 200, 1)))
+    a = Assessment(samples(spark, a=[[(-1, 1), (3, 1)]], b=[[(5, 5), (6, 6)]]), shapes, Policy(None))
+    told = {(r.track_id, r.target_id): (r.status, r.relation, r.assessable) for r in a.relations.collect()}
+    bad = {("a", "bow"): "TARGET_TOPOLOGY_INVALID", ("b", "bow"): "TARGET_TOPOLOGY_INVALID", ("a", "far"): "TARGET_SCHEMA_INVALID", ("b", "far"): "TARGET_SCHEMA_INVALID"}
+    assert told == {("a", "good"): ("OK", "partial", True), ("b", "good"): ("OK", "outside", True)} | {k: (v, None, None) for k, v in bad.items()}
+    assert {r.target_id for r in a.fragments.select("target_id").distinct().collect()} == {"good"}
+    assert {(r.track_id, r.target_id): r.outcome for r in export.geojson(a).collect() if r.geojson is None} == bad
+
+
+def test_large_targets_are_validated_by_a_sweep():
+    import math
+    import time
+
+    n = 20_000
+    circle = [[10 * math.cos(2 * math.pi * k / n), 10 * math.sin(2 * math.pi * k / n)] for k in range(n)]
+    hole = [[0.5 * x, 0.5 * y] for x, y in circle]
+    began = time.time()
+    assert areas.topology_code(json.dumps(polygon([*circle, circle[0]]))) is None
+    assert areas.topology_code(json.dumps(polygon([*circle, circle[0]], [*hole[::40], hole[0]]))) is None
+    crossed = [*circle]
+    crossed[5], crossed[9000] = circle[9000], circle[5]
+    assert areas.topology_code(json.dumps(polygon([*crossed, crossed[0]]))) == "TARGET_TOPOLOGY_INVALID"
+    assert time.time() - began < 60
+    islands = multi([rectangle(0, 0, 9, 9), rectangle(1, 1, 8, 8)], [rectangle(2, 2, 3, 3)])
+    assert areas.topology_code(json.dumps(islands)) is None
+    assert areas.topology_code(json.dumps(multi([rectangle(0, 0, 9, 9)], [rectangle(2, 2, 3, 3)]))) == "TARGET_TOPOLOGY_INVALID"
+    assert areas.topology_code(json.dumps(polygon(rectangle(0, 0, 9, 9), rectangle(1, 1, 8, 8), rectangle(2, 2, 3, 3)))) == "TARGET_TOPOLOGY_INVALID"
+
+
 def test_verifiers_accept_and_name_tampering(spark):
     a = assess(spark, [[(-1, 1), (1, 1), (3, 1)], [(1, 1.5), (1.5, 1.5)]], SQUARE)
     from groundtrace.operators.quality import usable_intervals
