@@ -13,7 +13,7 @@ of that many diagonals. A text of which one word in twenty was changed is simila
 a quarter or more of its shingles are others.
 
 Copies of one word sequence are folded into one representative first. In a bucket of a band every
-representative is compared with the bucket's pivot, its least doc_id. Then all members of a bucket that are still in
+representative is compared with the bucket's pivot, the member that meets most others. Then all members of a bucket that are still in
 different components are compared by their sketches, in blocks of ``BLOCK_MEMBERS`` against as many, and only candidates
 leave a block: no pairs are made inside a class, and no bucket is in one task. A pair is looked at in the first band that it shares.
 Classes are the connected components of all links, found by alternating star contraction.
@@ -48,6 +48,8 @@ LEAST_AGREED = 8
 BLOCK = 1 << 15
 #: Members of a bucket that are compared with as many others at a time.
 BLOCK_MEMBERS = 128
+#: Ids of documents that are sent to every executor; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Words that a text holds more often than this are aligned by one mask of all their places.
 OFTEN = 256
 #: Length times band from which an alignment over common rare shingles is tried before the whole band.
@@ -288,7 +290,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out[low + row] = similar(one.hash[one.first[row] : one.first[row + 1]], two.hash[two.first[row] : two.first[row + 1]])
         return pa.array(out)
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    one, two = (texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).hint("merge") for side in ("a", "b"))  # texts are never broadcast
+    both = pairs.join(one, "a").join(two, "b")
     return both.select("a", "b", F.arrow_udf(check, "boolean")("text_a", "text_b").alias("same")).filter("same").select("a", "b")
 
 
@@ -316,33 +319,48 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct candidates (a, b) whose texts are similar. Only texts that occur in them are shuffled."""
+    """Those of the distinct candidates (a, b) whose texts are similar. Only texts that occur in them are joined to them."""
     pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = materialise(docs.filter("text IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     links = materialise(_verified(pairs, texts).distinct(), "found")
-    discard(pairs, texts)
+    discard(pairs, ids, texts)
     return links
 
 
+def _with_pivots(shared: DataFrame) -> DataFrame:
+    """(bucket, doc_id, band, pivot): the pivot of a bucket is the member that meets most others in all its buckets.
+
+    So neighbouring buckets have the same pivot, and a document is compared with few.
+    """
+    scores = shared.groupBy(F.col("doc_id").alias("of")).agg(F.sum("members").alias("score"))
+    scored = materialise(shared.join(scores.hint("merge"), F.col("doc_id") == F.col("of")).select("bucket", "doc_id", "band", "score"), "scored")
+    best = F.max(F.struct(F.col("score"), (-F.col("doc_id")).alias("id")))
+    pivots = materialise(scored.groupBy("bucket").agg(F.count("*").alias("n"), best.alias("p")).select("bucket", "n", (-F.col("p.id")).alias("pivot")), "pivots")
+    out = materialise(attached(scored.drop("score"), pivots, ["bucket"]), "shared")
+    discard(shared, scored, pivots)
+    return out
+
+
 def _to_pivots(shared: DataFrame, reps: DataFrame) -> DataFrame:
     """Candidates among the pairs of each member of a bucket with its pivot. ``shared``: (bucket, doc_id, pivot)."""
     pairs = shared.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     one = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(one, "a").join(two, "b").filter(_are_candidates()).select("a", "b").distinct()
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter(_are_candidates()).select("a", "b").distinct()
 
 
 def _in_blocks(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates among the members of each bucket that are in different components and none of which is its pivot; the table that they read."""
     own = materialise(shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
     several = own.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    several = several.select("bucket", "n", F.ceil(F.col("n") / BLOCK_MEMBERS).alias("slices"))
-    members = attached(own, several, ["bucket"]).filter("doc_id <> pivot").join(reps.select("doc_id", F.col("n").alias("words"), "sketch"), "doc_id")
+    several = materialise(several.select("bucket", "n", F.ceil(F.col("n") / BLOCK_MEMBERS).alias("slices")), "several")
+    members = attached(own, several, ["bucket"]).filter("doc_id <> pivot").join(reps.select("doc_id", F.col("n").alias("words"), "sketch").hint("merge"), "doc_id")
     member = F.struct("doc_id", "root", "words", "sketch")
     blocks = members.groupBy("bucket", "slices", F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.col("slices")).alias("slice"))
     blocks = materialise(blocks.agg(F.first("band").alias("band"), F.collect_list(member).alias("members")), "blocks")
-    discard(own)
+    discard(own, several)
     # both sides of a pair of blocks are dealt by the pair, so that a bucket of many blocks is in many tasks
     left = blocks.select("bucket", "band", "slice", F.explode(F.sequence(F.col("slice"), F.col("slices") - 1)).alias("other"), F.col("members").alias("left"))
     right = blocks.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slice"))).alias("slice"), F.col("slice").alias("other"), F.col("members").alias("right"))
@@ -376,20 +394,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the least doc_id of its near-duplicate class, for each doc_id."""
     docs = docs.select("doc_id", "text")
     signed = materialise(_signed(docs), "signed")
-    exact = signed.groupBy("exact", "other").agg(F.min("doc_id").alias("rep"))
-    members = materialise(signed.select("doc_id", "exact", "other").distinct().join(exact, ["exact", "other"]).select("doc_id", "rep", "exact", "other"), "members")
-    reps = members.filter("doc_id = rep").select("doc_id", "exact", "other").join(signed, ["doc_id", "exact", "other"])
-    reps = materialise(reps.dropDuplicates(["doc_id", "exact", "other"]).select("doc_id", "n", "sketch", "bands"), "reps")
+    reps = signed.groupBy("exact", "other").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "sketch", "bands"), "doc_id").alias("s"))
+    reps = materialise(reps.select("doc_id", "exact", "other", "s.*"), "reps")
+    exact = reps.select("exact", "other", F.col("doc_id").alias("rep"))
+    members = materialise(signed.select("doc_id", "exact", "other").join(exact, ["exact", "other"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "members")
     entries = materialise(reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")), "entries")
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1")
+    buckets = materialise(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("members", F.col("n")), "buckets")
     shared = materialise(attached(entries, buckets, ["bucket"]), "shared")
-    discard(signed, entries)
+    discard(signed, entries, buckets)
+    shared = _with_pivots(shared)
     links = _linked(_to_pivots(shared, reps), docs)
     roots = components(links)
     more, blocks = _in_blocks(shared, roots, reps)
     more = _linked(more.distinct(), docs)
     discard(shared, reps, blocks)
-    every = links.unionByName(more).unionByName(members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    every = links.unionByName(more).unionByName(members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     final = components(every)
     discard(links, more, members)
     own = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()

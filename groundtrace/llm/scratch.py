@@ -58,9 +58,12 @@ def discard(*tables: DataFrame) -> None:
 def attached(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the columns of their group, without those that have none. ``groups``: (keys, ``n`` rows of each, ...).
 
-    ``rows`` is a written table. Its largest groups are broadcast, so that none of them is dealt to one task.
+    Both are written tables. The largest groups are joined by broadcast, so that none of them is dealt to one task; the driver
+    holds a hash of each of these, of fewer than ``HOT_GROUPS`` in all.
     """
-    hot = groups.filter(F.col("n") > F.lit(rows.count() // HOT_GROUPS + 1))
-    known = F.broadcast(hot.select(*keys))
-    rest = rows.join(known, keys, "left_anti").join(groups.join(known, keys, "left_anti"), keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(rest).drop("n")
+    known = F.xxhash64(*keys)
+    hot = [r[0] for r in groups.filter(F.col("n") > rows.count() // HOT_GROUPS + 1).select(known).collect()]
+    if not hot:
+        return rows.join(groups.hint("merge"), keys).drop("n")
+    rest = rows.filter(~known.isin(hot)).join(groups.filter(~known.isin(hot)).hint("merge"), keys)
+    return rows.filter(known.isin(hot)).join(F.broadcast(groups.filter(known.isin(hot))), keys).unionByName(rest).drop("n")
