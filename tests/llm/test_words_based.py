@@ -57,7 +57,7 @@ def brute_contamination(text, items, window=10):
     return len(own), len(hit), sorted(held)
 
 
-def test_decontamination_equals_brute_force(spark):
+def test_decontamination_equals_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     items = [(i, prose(rng, n, 30)) for i, n in enumerate([40, 12, 10, 9, 3, 1, 25])] + [(50, None), (51, ""), (52, "A b"), (53, "a B")]
     texts = [*ODD, "a b", prose(rng, 30, 30)]
@@ -70,15 +70,16 @@ def test_decontamination_equals_brute_force(spark):
         texts.append("\n".join(parts))
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     docs = documents(spark, texts)
-    for block in (2_000_000, 30):  # one automaton, and many
+    expected = [brute_contamination(t, [(i, plain(x)) for i, x in items]) for t in texts]
+    for block, shared in ((2_000_000, 1 << 27), (30, 1 << 27), (30, 1)):  # one automaton, many, and many in passes
+        monkeypatch.setattr(decontamination, "SHARED_BYTES", shared)
         blocks = decontamination.automata(benchmark, block_words=block)
-        assert (len(blocks) > 1) == (block == 30)
-        rows = docs.select("doc_id", decontamination.contamination(spark, blocks, "text").alias("f")).select("doc_id", "f.*").orderBy("doc_id").collect()
-        got = [(r.n_words, r.n_hit, list(r["items"])) for r in rows]
-        assert got == [brute_contamination(t, [(i, plain(x)) for i, x in items]) for t in texts]
+        assert (blocks.count() > 1) == (block == 30) and (len(decontamination._groups(blocks)) > 1) == (shared == 1)
+        rows = decontamination.contamination(docs, blocks).orderBy("doc_id").collect()
+        assert [(r.n_words, r.n_hit, list(r["items"])) for r in rows] == expected
 
 
-def test_decontaminate_removes_spans_and_leaves_the_rest(spark):
+def test_decontaminate_removes_spans_and_leaves_the_rest(spark, monkeypatch):
     rng = random.Random(7)
     item = prose(rng, 40)
     clean = [*ODD, prose(rng, 50, 9000)]
@@ -91,18 +92,24 @@ def test_decontaminate_removes_spans_and_leaves_the_rest(spark):
     assert [got[i].text for i in range(n)] == clean and [got[i].n_chars for i in range(n)] == [None if t is None else len(t) for t in clean]
     assert got[n].text == "before it. \n After it, more words stand here" and got[n].n_chars == len(got[n].text)
     assert n + 1 not in got and got[n + 2].text == texts[n + 2]
+    other = spark.createDataFrame([(1, item), (2, prose(rng, 40)), (None, prose(rng, 12)), (3, None)], "item_id bigint, text string")
+    monkeypatch.setattr(decontamination, "SHARED_BYTES", 1)
+    again = decontamination.decontaminate(documents(spark, texts), other, block_words=9)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
     assert decontamination.decontaminate(documents(spark, texts).limit(0), benchmark).count() == 0
     assert decontamination.decontaminate(documents(spark, texts), benchmark.limit(0)).count() == len(texts)
 
 
 def common_subsequence(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = row
-        row = [0]
-        for j, y in enumerate(b):
-            row.append(before[j] + 1 if x == y else max(before[j + 1], row[-1]))
-    return row[-1]
+    """Length of the longest one, over the whole table: a bit of the row is 0 where its value rises."""
+    masks = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    whole = row = (1 << len(a)) - 1
+    for y in b:
+        hits = row & masks.get(y, 0)
+        row = ((row + hits) | (row - hits)) & whole
+    return len(a) - row.bit_count()
 
 
 @pytest.mark.parametrize("often", [2, 256])
@@ -116,7 +123,7 @@ def test_banded_alignment(monkeypatch, often):
             at = int(rng.integers(0, len(b) + 1))
             b = b[:at] + ([int(rng.integers(0, 30))] if rng.random() < 0.5 else []) + b[at + int(rng.random() < 0.5) :] or [0]
         b, most = np.array(b), int(rng.integers(0, 12))
-        best, got = common_subsequence(a, b), near_dedup.aligned(a, b, most)
+        best, got = common_subsequence(a.tolist(), b.tolist()), near_dedup.aligned(a, b, most)
         assert got <= best
         if len(a) + len(b) - 2 * best <= most:
             assert got == best
@@ -124,7 +131,10 @@ def test_banded_alignment(monkeypatch, often):
 
 def brute_classes(texts):
     """The least number of each text's class, by the longest common subsequence of the words of every pair."""
+    from collections import Counter
+
     grams = [plain(t) for t in texts]
+    bags = [Counter(x) for x in grams]
     root = list(range(len(texts)))
 
     def find(x):
@@ -135,8 +145,10 @@ def brute_classes(texts):
     for i, a in enumerate(grams):
         for j in range(i):
             b = grams[j]
-            if a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and find(i) != find(j) and len({*a} & {*b}) >= 0.5 * len({*a} | {*b}):
-                m = common_subsequence(a, b)
+            if a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and find(i) != find(j):
+                m = (bags[i] & bags[j]).total()  # no subsequence is longer
+                if m / (len(a) + len(b) - m) >= 0.8:
+                    m = common_subsequence(a, b)
                 if m / (len(a) + len(b) - m) >= 0.8:
                     x, y = sorted((find(i), find(j)))
                     root[y] = x
@@ -242,11 +254,63 @@ def test_language_profiles(spark):
 
 def test_out_of_place_distance():
     letters = language.alphabet()
-    values, counts = np.unique(language.grams("abca Äb", letters), return_counts=True)
+    values, counts = language.counted("abca Äb", letters)
     assert counts[values == ord("a")] == [2] and counts[values == ord("ä")] == [1]
     assert language.ranked(np.array([1, 3, 3]), np.array([7, 9, 8]), 2).tolist() == [8, 9]
 
 
+def test_grams_are_counted_by_parts(monkeypatch):
+    letters = language.alphabet()
+    rng = random.Random(5)
+    for _ in range(60):
+        text = "".join(rng.choice("ab é1 -\n") for _ in range(rng.randrange(40)))
+        plain_text = " " + " ".join(re.findall(r"[^\W\d_]+", text)) + " "
+        expected = {}
+        for n in (1, 2, 3):
+            for i in range(len(plain_text) - n + 1):
+                gram = plain_text[i : i + n]
+                if gram.strip() and not (n == 3 and gram[1] == " "):
+                    expected[gram] = expected.get(gram, 0) + 1
+        for part in (1, 2, 7, 1 << 17):
+            monkeypatch.setattr(language, "PART", part)
+            values, counts = language.counted(text, letters)
+            got = {}
+            for value, count in zip(values.tolist(), counts.tolist(), strict=True):
+                signs = []
+                while value:
+                    signs.append(chr(value & 0x1FFFFF))
+                    value >>= 21
+                got["".join(signs[::-1])] = count
+            assert got == (expected if plain_text.strip() else {})
+
+
+def test_op3_equals_brute_force(spark):
+    """The registered query against profiles by counters, on the smallest table."""
+    from collections import Counter
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def profile(texts):
+        total = Counter()
+        for text in texts:
+            own = " " + " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())) + " "
+            total.update(own[i : i + n] for n in (1, 2, 3) for i in range(len(own) - n + 1) if own[i : i + n].strip() and not (n == 3 and own[i + 1] == " "))
+        value = lambda g: sum(ord(c) << (21 * k) for k, c in enumerate(reversed(g)))
+        return sorted(total, key=lambda g: (-total[g], value(g)))[: language.TOP]
+
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows}
+    names = sorted({r.lang for r in rows if r.lang is not None and not held[r.doc_id]})
+    ranks = {n: {g: k for k, g in enumerate(profile(r.text for r in rows if r.lang == n and not held[r.doc_id]))} for n in names}
+    out = QUERIES["op3_language"](spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    got = {r.doc_id: r for r in out.collect()}
+    for r in rows:
+        own = profile([r.text])
+        far = {n: sum(abs(ranks[n].get(g, 10**9) - k) if g in ranks[n] else language.TOP for k, g in enumerate(own)) for n in names}
+        best = min(names, key=lambda n: (far[n], n)) if own else "und"
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].held_out == held[r.doc_id] and 0 <= got[r.doc_id].score <= 1
+
+
 def test_bounded_samples_are_stable(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
     first = sorted(r.doc_id for r in language.bounded(rows, "doc_id", "label", 100).collect())
