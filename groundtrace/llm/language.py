@@ -17,10 +17,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: N-grams in a profile, and of a text that are compared.
 TOP = 400
+#: Characters whose n-grams are counted at a time. Bounds the temporary arrays, not the texts.
+PART = 1 << 17
 #: Labelled rows that profiles are learned from, for each language, about: a bounded sample.
 SAMPLE = 2000
 UNDETERMINED = "und"
@@ -38,20 +41,46 @@ def alphabet() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def grams(text: str | None, letters: np.ndarray) -> np.ndarray:
-    """All n-grams of a text as numbers: up to three code points of 21 bits."""
-    code = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32).astype(np.int64)
+def grams(text: str, letters: np.ndarray, carry: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams, as numbers of up to three code points of 21 bits, that end in a part of a text, and its last two signs.
+
+    ``carry``: the last two signs before the part; a run of other signs than letters is one blank.
+    """
+    code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.int64)
     letter = letters[code]
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    code = np.where(letter, code, 32)
-    before = np.concatenate([[False], letter[:-1]])
-    code = np.concatenate([[32], code[letter | before], [32]])
+    before = np.concatenate([carry[-1:] != 32, letter[:-1]])[: len(code)]
+    code = np.where(letter, code, 32)[letter | before]
+    if last and (code[-1] if len(code) else carry[-1]) != 32:
+        code = np.append(code, 32)
+    code = np.concatenate([carry, code])
     blank = code == 32
-    two = ~(blank[:-1] & blank[1:])
+    two = ~(blank[1:-1] & blank[2:])
     pairs = (code[:-1] << 21) | code[1:]
     triples = (pairs[:-1] << 21) | code[2:]
-    return np.concatenate([code[~blank], pairs[two], triples[~blank[1:-1]]])
+    inside = ~blank[1:-1] & (code[:-2] >= 0)
+    return np.concatenate([code[2:][~blank[2:]], pairs[1:][two], triples[inside]]), code[-2:]
+
+
+def _summed(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, at = np.unique(np.concatenate([np.zeros(0, np.int64), *values]), return_inverse=True)
+    return every, np.bincount(at, np.concatenate([np.zeros(0), *counts]), len(every)).astype(np.int64)
+
+
+def counted(text: str | None, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a whole text in order, and how often each occurs. ``PART`` characters are taken at a time."""
+    text = text or ""
+    carry = np.array([-1, 32])  # before the first sign is a blank, and nothing before that
+    values, counts, held = [], [], 0
+    for low in range(0, len(text), PART):
+        own, carry = grams(text[low : low + PART], letters, carry, low + PART >= len(text))
+        more, n = np.unique(own, return_counts=True)
+        values.append(more)
+        counts.append(n)
+        held += len(more)
+        if held > PART:
+            total, n = _summed(values, counts)
+            values, counts, held = [total], [n], 0
+    return (values[0], counts[0]) if len(values) == 1 else _summed(values, counts)
 
 
 def ranked(counts: np.ndarray, values: np.ndarray, top: int) -> np.ndarray:
@@ -63,15 +92,15 @@ def ranked(counts: np.ndarray, values: np.ndarray, top: int) -> np.ndarray:
 
 
 def classify(text: str | None, letters: np.ndarray, profiles: Profiles) -> tuple[str, float]:
-    own = grams(text, letters)
-    if not len(own) or not profiles.languages:
+    values, counts = counted(text, letters)
+    if not len(values) or not profiles.languages:
         return UNDETERMINED, 0.0
-    values, counts = np.unique(own, return_counts=True)
     best = ranked(counts, values, profiles.top)
     at = np.minimum(np.searchsorted(profiles.grams, best), len(profiles.grams) - 1)
     known = profiles.grams[at] == best
-    apart = np.abs(profiles.ranks[at[known]] - np.flatnonzero(known)[:, None])
-    missing = profiles.ranks[at[known]] == profiles.top
+    ranks = profiles.ranks[at[known]]
+    apart = np.abs(ranks - np.flatnonzero(known)[:, None])
+    missing = ranks == profiles.top
     far = np.where(missing, profiles.top, apart).sum(axis=0) + profiles.top * int((~known).sum())
     first = int(np.argmin(far))
     others = np.delete(far, first)
@@ -85,17 +114,34 @@ def learn(labelled: DataFrame, text: str, lang: str, top: int = TOP) -> Profiles
     letters = spark.sparkContext.broadcast(alphabet())
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a partition, of ``PART`` n-grams and more at a time."""
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, own in held.items():
+                values, n = _summed(*map(list, zip(*own, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values), pa.array(n)], ["lang", "gram", "n"])
+            held.clear()
+
         for batch in batches:
-            for language in batch.column(1).unique():
-                rows = [t.as_py() for t, name in zip(batch.column(0), batch.column(1), strict=True) if name == language]
-                values, counts = np.unique(np.concatenate([grams(t, letters.value) for t in rows]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([language.as_py()] * len(values), pa.string()), pa.array(values), pa.array(counts)], ["lang", "gram", "n"])
-
-    sums = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL")
-    rows = sums.mapInArrow(partial, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    tops = {name: ranked(group["n"].to_numpy(), group["gram"].to_numpy(), top) for name, group in sorted(rows.groupby("lang"), key=lambda x: x[0])}
+            for body, name in zip(batch.column(0), batch.column(1), strict=True):
+                held.setdefault(name.as_py(), []).append(counted(body.as_py(), letters.value))
+                size += len(held[name.as_py()][-1][0])
+                if size > 8 * PART:
+                    yield from told()
+                    size = 0
+        yield from told()
+
+    known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL")
+    sums = known.mapInArrow(partial, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
+    rows = sums.withColumn("place", place).filter(F.col("place") < top).select("lang", "gram", "place").toArrow()  # ``top`` rows a language
+    names = sorted(rows["lang"].unique().to_pylist())
+    lang_of, gram_of, place_of = np.array(rows["lang"].to_pylist(), object), rows["gram"].to_numpy(), rows["place"].to_numpy()
+    tops = {name: gram_of[lang_of == name][np.argsort(place_of[lang_of == name])] for name in names}
     every = np.unique(np.concatenate([np.zeros(0, np.int64), *tops.values()]))
-    ranks = np.full((len(every), len(tops)), top, np.int64)
+    ranks = np.full((len(every), len(tops)), top, np.int16)
     for column, best in enumerate(tops.values()):
         ranks[np.searchsorted(every, best), column] = np.arange(len(best))
     return Profiles([*tops], every, ranks, top)
@@ -103,10 +149,10 @@ def learn(labelled: DataFrame, text: str, lang: str, top: int = TOP) -> Profiles
 
 def bounded(labelled: DataFrame, key: str, label: str, most: int) -> DataFrame:
     """About ``most`` rows of each label, chosen by a hash of the key: a sample, the same in every run."""
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
-    shares = [F.when(F.col(label) == name, F.lit(int(1_000_000 * min(1.0, most / n)))) for name, n in counts.items() if name is not None]
-    share = F.coalesce(*shares, F.lit(0)) if shares else F.lit(0)
-    return labelled.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < share)
+    share = F.floor(1_000_000 * F.least(F.lit(1.0), most / F.count("*")))
+    shares = labelled.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("of_label")).agg(share.alias("share"))
+    chosen = labelled.join(shares, F.col(label) == F.col("of_label"))
+    return chosen.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < F.col("share")).drop("of_label", "share")
 
 
 def language(spark: SparkSession, profiles: Profiles, text: Column | str) -> Column:
