@@ -7,7 +7,8 @@ what remains. The one that reaches the budget gives only the words that are left
 source's taken words are its target to the word.
 
 The prefix sums don't need a source in one task: a source is cut into ranges of its key, about
-``RANGE_ROWS`` documents each, the ranges' sums are accumulated, and a range's documents after that.
+``RANGE_ROWS`` documents each, the ranges' sums are accumulated, and a range's documents after that. The ranges are even, as the
+keys' distribution is known: a document of weight w has a key up to k with a chance of 1 - exp(-wk), and the weights are counted.
 
 Sources in the order of their code points, null last, weigh 5, 2, 1 and again. They share 150 % of all
 words; a target stops at twice its source's words and the excess goes to the others by weight, which is
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from groundtrace.llm.scratch import materialise
 
 WEIGHTS = (5, 2, 1)
+#: Quality weights are rounded to so many steps a unit for the distribution of keys (2 at most: 16 numbers a source), not for the keys.
+WEIGHT_STEPS = 8
 SHARE = 1.5
 MOST_EPOCHS = 2
 #: Documents of a source whose sizes are accumulated in one window.
@@ -78,13 +81,17 @@ def mixed(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         weights = quality(labels)
         drawn = drawn.join(weights, F.col("doc_id") == F.col("labelled_id"), "left").drop("labelled_id").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    drawn = materialise(drawn.withColumn("key", -F.log("u") / F.col("weight")).drop("u", "weight"), "drawn")
-    sums = targets(drawn.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
+    drawn = drawn.withColumns({"key": -F.log("u") / F.col("weight"), "step": F.greatest(F.lit(1), F.round(F.col("weight") * WEIGHT_STEPS).cast("int"))})
+    drawn = materialise(drawn.drop("u", "weight"), "drawn")
+    steps = drawn.groupBy("source", "step").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    sums = steps.groupBy("source").agg(F.sum("words").alias("words"), F.sum("rows").alias("rows"), F.collect_list(F.struct("step", "rows")).alias("steps"))
+    sums = targets(sums).join(sums.select(F.col("source").alias("same"), "steps"), F.col("source").eqNullSafe(F.col("same"))).drop("same")
     sources = materialise(sums.withColumnRenamed("source", "of"), "sources")
     small = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     on = F.col("source").eqNullSafe(F.col("of"))
     ranges = F.ceil(F.col("rows") / RANGE_ROWS)
-    rows = drawn.join(F.broadcast(sources) if small else sources, on).withColumn("part", F.floor(ranges * (1 - F.exp(-F.col("key")))))
+    below = F.aggregate("steps", F.lit(0.0), lambda n, s: n + s["rows"] * (1 - F.exp(-F.col("key") * s["step"] / WEIGHT_STEPS))) / F.col("rows")
+    rows = drawn.drop("step").join(F.broadcast(sources) if small else sources, on).withColumn("part", F.floor(ranges * below)).drop("steps")
     before = W.partitionBy("of").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("of", "part").agg(F.sum("size").alias("sum")).select("of", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
     starts = starts.select(F.col("of").alias("in"), F.col("part").alias("at"), "start")
@@ -97,6 +104,19 @@ def mixed(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.select("doc_id", "source", "tie", "size", F.col("words").alias("source_size"), "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The documents that the mix takes, all their columns, with ``size``, ``source_size``, ``target`` and ``taken``.
+
+    Rows that are repeated with doc_id, source and text share what the mix takes of them evenly, rounded down. Columns of ``docs`` that have these four names are replaced.
+    """
+    told = mixed(docs, labels).groupBy("doc_id", "source", "tie").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.floor(F.sum("taken") / F.count("*")).alias("taken"))
+    told = told.filter("taken > 0").withColumnsRenamed({"doc_id": "of_id", "source": "of_source", "tie": "of_text"})
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("of_id")) & F.col("row.source").eqNullSafe(F.col("of_source")) & (F.xxhash64("row.text") == F.col("of_text"))
+    added = ["size", "source_size", "target", "taken"]
+    return both.join(told, same).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "size", "source_size", "target", "taken")
