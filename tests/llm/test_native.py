@@ -86,7 +86,7 @@ def test_ranks_follow_the_order_of_the_suffixes(spark):
     found = {}
     for r in ranks.collect():
         found.setdefault(r.k, {}).setdefault(r.rank, set()).add(tuple(docs[r.doc_id][r.pos : r.pos + 2**r.k]))
-    order = {next(iter(v)): rank for rank, v in found[0].items()}
+    order = {next(iter(v))[0]: rank for rank, v in found[0].items()}
     for k, groups in found.items():
         assert all(len(v) == 1 and len(next(iter(v))) == 2**k for v in groups.values())
         sorted_ = [next(iter(groups[rank])) for rank in sorted(groups)]
@@ -210,40 +210,76 @@ def test_secrets(spark):
     assert secrets.scored(found, labelled.limit(0)).select("score").distinct().collect()[0][0] == 0.0
 
 
-def test_secrets_that_the_rule_cannot_judge_are_not_learned_as_false(spark):
-    rng = random.Random(8)
+def secret_forms(rng):
+    """name -> (how one is written, labels of the rules, whether it is a secret)."""
     draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
-    lower, upper = "0123456789abcdef", "0123456789ABCDEF"
+    lower, upper, tens = "0123456789abcdef", "0123456789ABCDEF", "123456789"
     base64 = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
-    forms = {
-        "lower": (lambda: f'token = "{draw(lower, 40)}"', {1}),
-        "upper": (lambda: f'TOKEN = "{draw(upper, 40)}"!!', {1}),
-        "no blanks": (lambda: f'token="{draw(lower, 40)}"', {1}),
-        "unquoted": (lambda: f"token = {draw(lower, 39)}7", {None}),
-        "32 digits": (lambda: f'token = "{draw(lower, 31)}7"', {None}),
-        "base64": (lambda: f'secret = "{draw(base64, 39)}7"', {None}),
-        "prefixed": (lambda: f'key = "sk_live_{draw(base64, 24)}7"', {None}),
-        "named number": (lambda: f"password: {draw('123456789', 20)}", {None}),
-        "signed address": (lambda: f"see https://a.example.com/?token={draw(lower, 32)}7 there", {None}),
-        "random address": (lambda: f"see https://hooks.example.com/services/T1/{draw(base64, 23)}7a there", {None}),
-        "number": (lambda: f"call {draw('123456789', 16)} now", {0}),
-        "mail": (lambda: f"ask jane.{draw('123456789', 2)}@mail8.example.com now", {0}),
-        "address": (lambda: f"see https://www.example.com/archive/2024/item-{draw('123456789', 3)} there", {0}),
+    mixed = lambda n: draw(base64, n - 3) + "aB7"
+    return {
+        "lower": (lambda: f'token = "{draw(lower, 40)}"', {1}, True),
+        "upper": (lambda: f'TOKEN = "{draw(upper, 40)}"!!', {1}, True),
+        "glued": (lambda: f'API_KEY="{draw(lower, 40)}"', {1}, True),
+        "single quotes": (lambda: f"token: '{draw(lower, 32)}'", {1}, True),
+        "unquoted": (lambda: f"token = {draw(lower, 39)}7", {1}, True),
+        "base64": (lambda: f'secret = "{mixed(40)}"', {1}, True),
+        "key format": (lambda: f'token = "AKIA{draw("ABCDEFGHIJ234567", 16)}"', {1}, True),
+        "bare key format": (lambda: f"use ghp_{mixed(36)} there", {1}, True),
+        "24 digits": (lambda: f'secret = "{draw(lower, 23)}7"', {None}, True),
+        "number": (lambda: f"call {draw(tens, 16)} now", {0}, False),
+        "mail": (lambda: f"ask jane.{draw(tens, 2)}@mail8.example.com now", {0}, False),
+        "address": (lambda: f"see https://www.example.com/archive/2024/item-{draw(tens, 3)} there", {0}, False),
+        "path": (lambda: f"open /srv/data/{draw('aeioulmnrst', 7)}/part-{draw(tens, 3)}.csv then", {0}, False),
+        "uuid": (lambda: f"row {draw(lower, 8)}-{draw(lower, 4)}-{draw(lower, 4)}-{draw(lower, 4)}-{draw(lower, 11)}1 done", {0}, False),
+        "commit": (lambda: f"commit {draw(lower, 39)}7 merged", {0}, False),
     }
+
+
+def test_forest_on_held_out_findings_of_all_kinds(spark):
+    """Labels by the rules on four of five documents; precision and recall on the others, forms without a label among them."""
+    rng = random.Random(8)
+    forms = secret_forms(rng)
     names = [*forms]
-    docs = spark.createDataFrame([(i, f"words {forms[names[i % len(names)]][0]()} more") for i in range(60 * len(names))], "doc_id bigint, text string")
+    texts = [f"some words {forms[names[i % len(names)]][0]()} more" for i in range(80 * len(names))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = secrets.findings(docs)
     judged = found.withColumn("label", secrets.rule_label())
     told = {n: set() for n in names}
     for r in judged.collect():
         told[names[r.doc_id % len(names)]].add(r.label)
-    assert told == {n: labels for n, (_, labels) in forms.items()}
-    rows = secrets.scored(found, judged.filter(secrets.learned_from())).collect()
-    assert len(rows) == 60 * len(names)
-    low = {n: min(r.score for r in rows if names[r.doc_id % len(names)] == n) for n in names}
-    high = {n: max(r.score for r in rows if names[r.doc_id % len(names)] == n) for n in names}
-    assert all(low[n] >= 0.5 for n in ("lower", "upper", "no blanks"))
-    assert all(high[n] < 0.5 for n in ("number", "mail", "address"))
+    assert told == {n: labels for n, (_, labels, _) in forms.items()}
+    known = secrets.dictionary(docs)
+    assert "words" in known and "archive" in known and len(known) <= secrets.DICTIONARY_WORDS
+    rows = secrets.scored(found, judged.filter(secrets.learned_from()), known).filter(~secrets.learned_from()).collect()
+    hits = [(forms[names[r.doc_id % len(names)]][2], r.score >= 0.5) for r in rows]
+    right = sum(a and b for a, b in hits)
+    assert len(rows) > 200 and right >= 0.95 * sum(b for _, b in hits) and right >= 0.95 * sum(a for a, _ in hits)
+
+
+def test_candidates_that_a_name_assigns(spark):
+    texts = ["password: hunter", 'the pwd = "correct-horse" x', "SECRET=abcdefg now", "password: abc", "a password of sorts here", "key://nothing-here", "monkey business 12345"]
+    rows = secrets.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.word) for r in rows) == [(0, "hunter"), (1, "correct-horse"), (2, "SECRET=abcdefg")]
+
+
+def test_op5_on_the_smallest_table(spark, tmp_path):
+    """The registered query's columns against a plain search of the texts; an empty table has no findings."""
+    import hashlib
+    import zlib
+
+    out = QUERIES["op5_secrets"](spark, SMALL)
+    rows = out.collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    expected = set()
+    for doc, text in texts.items():
+        for n, word in enumerate(re.sub(r"[\x09-\x0D]", " ", text or "").split(" ")):
+            bare = re.sub(r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", word)
+            if len(bare) >= 16 and re.search("[0-9]", bare):
+                expected.add((doc, n, hashlib.sha256(bare.encode()).hexdigest(), len(bare), zlib.crc32(str(doc).encode()) % 5 == 0))
+    got = {(r.doc_id, r.word_no, r.word_sha256, r.length, r.held_out) for r in rows}
+    assert expected <= got and all(0 <= r.score <= 1 and r.is_secret == (r.score >= 0.5) for r in rows)
+    spark.read.parquet(f"{SMALL}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op5_secrets"](spark, str(tmp_path)).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
