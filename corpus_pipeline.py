@@ -8,7 +8,6 @@ the next stage what it reads back. All but the last return the columns of ``docu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from groundtrace.llm import decontamination, line_dedup, mixing, near_dedup
 from groundtrace.llm import toxicity as toxic
@@ -36,9 +35,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each document that the mix takes: ``taken`` of its words, repeats counted, next to its size and its source's target."""
-    mixed = mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixed.filter(F.col("taken") > 0).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """The documents that the mix takes, whole, with ``taken`` of their words, repeats counted, next to their size and their source's target."""
+    return mixing.mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", benchmark), ("mixing", mix)]
