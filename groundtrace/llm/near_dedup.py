@@ -13,7 +13,8 @@ of that many diagonals. A text of which one word in twenty was changed is simila
 a quarter or more of its shingles are others.
 
 Copies of one word sequence are folded into one representative first. In a bucket of a band every
-representative is compared with the bucket's pivot, the member that meets most others. Then all members of a bucket that are still in
+representative is compared with the bucket's pivot, the member that meets most others: first with the pivot that it meets most often,
+then, if that didn't put them in one component, with its others. Then all members of a bucket that are still in
 different components are compared by their sketches, in blocks of ``BLOCK_MEMBERS`` against as many, and only candidates
 leave a block: no pairs are made inside a class, and no bucket is in one task. A pair is looked at in the first band that it shares.
 Classes are the connected components of all links, found by alternating star contraction.
@@ -329,38 +330,58 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def _with_pivots(shared: DataFrame) -> DataFrame:
-    """(bucket, doc_id, band, pivot): the pivot of a bucket is the member that meets most others in all its buckets.
+def _with_pivots(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, doc_id, band, pivot), and (bucket, n, pivot). The pivot of a bucket is the member that meets most others in all its buckets.
 
-    So neighbouring buckets have the same pivot, and a document is compared with few.
+    So neighbouring buckets have the same pivot, and a document has few.
     """
     scores = shared.groupBy(F.col("doc_id").alias("of")).agg(F.sum("members").alias("score"))
     scored = materialise(shared.join(scores.hint("merge"), F.col("doc_id") == F.col("of")).select("bucket", "doc_id", "band", "score"), "scored")
     best = F.max(F.struct(F.col("score"), (-F.col("doc_id")).alias("id")))
     pivots = materialise(scored.groupBy("bucket").agg(F.count("*").alias("n"), best.alias("p")).select("bucket", "n", (-F.col("p.id")).alias("pivot")), "pivots")
     out = materialise(attached(scored.drop("score"), pivots, ["bucket"]), "shared")
-    discard(shared, scored, pivots)
-    return out
+    discard(shared, scored)
+    return out, pivots
 
 
-def _to_pivots(shared: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidates among the pairs of each member of a bucket with its pivot. ``shared``: (bucket, doc_id, pivot)."""
-    pairs = shared.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+def _candidates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b), which share a band, that agree in enough entries."""
     one = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter(_are_candidates()).select("a", "b").distinct()
 
 
-def _in_blocks(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates among the members of each bucket that are in different components and none of which is its pivot; the table that they read."""
-    own = materialise(shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
+def _to_best_pivot(shared: DataFrame) -> DataFrame:
+    """Each document with the pivot that it meets in most buckets."""
+    met = shared.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("times"))
+    best = met.groupBy("doc_id").agg(F.max(F.struct("times", "pivot")).alias("p"))
+    return best.select(F.col("doc_id").alias("a"), F.col("p.pivot").alias("b"))
+
+
+def _placed(shared: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, doc_id, band, root, pivot, pivot_root): every member of a bucket and its pivot with their components."""
+    own = roots.select(F.col("node").alias("of"), "root")
+    rows = materialise(shared.drop("pivot").join(own.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("bucket", "doc_id", "band", F.coalesce("root", "doc_id").alias("root")), "members")
+    of_pivots = materialise(pivots.join(own.hint("merge"), F.col("pivot") == F.col("of"), "left").select("bucket", "n", "pivot", F.coalesce("root", "pivot").alias("pivot_root")), "pivots")
+    out = materialise(attached(rows, of_pivots, ["bucket"]), "placed")
+    discard(rows, of_pivots)
+    return out
+
+
+def _to_other_pivots(placed: DataFrame) -> DataFrame:
+    """Each document with the pivots that it meets and that are in another component than it."""
+    return placed.filter("doc_id <> pivot AND root <> pivot_root").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+
+
+def _in_blocks(own: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates among the placed members of each bucket that are in different components and none of which is its pivot; the table that they read."""
     several = own.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
     several = materialise(several.select("bucket", "n", F.ceil(F.col("n") / BLOCK_MEMBERS).alias("slices")), "several")
     members = attached(own, several, ["bucket"]).filter("doc_id <> pivot").join(reps.select("doc_id", F.col("n").alias("words"), "sketch").hint("merge"), "doc_id")
     member = F.struct("doc_id", "root", "words", "sketch")
     blocks = members.groupBy("bucket", "slices", F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.col("slices")).alias("slice"))
     blocks = materialise(blocks.agg(F.first("band").alias("band"), F.collect_list(member).alias("members")), "blocks")
-    discard(own, several)
+    discard(several)
     # both sides of a pair of blocks are dealt by the pair, so that a bucket of many blocks is in many tasks
     left = blocks.select("bucket", "band", "slice", F.explode(F.sequence(F.col("slice"), F.col("slices") - 1)).alias("other"), F.col("members").alias("left"))
     right = blocks.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slice"))).alias("slice"), F.col("slice").alias("other"), F.col("members").alias("right"))
@@ -402,15 +423,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = materialise(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("members", F.col("n")), "buckets")
     shared = materialise(attached(entries, buckets, ["bucket"]), "shared")
     discard(signed, entries, buckets)
-    shared = _with_pivots(shared)
-    links = _linked(_to_pivots(shared, reps), docs)
-    roots = components(links)
-    more, blocks = _in_blocks(shared, roots, reps)
+    shared, pivots = _with_pivots(shared)
+    links = _linked(_candidates(_to_best_pivot(shared), reps), docs)
+    placed = _placed(shared, pivots, components(links))
+    links = links.unionByName(_linked(_candidates(_to_other_pivots(placed), reps), docs))
+    discard(placed)
+    placed = _placed(shared, pivots, components(links))
+    more, blocks = _in_blocks(placed, reps)
     more = _linked(more.distinct(), docs)
-    discard(shared, reps, blocks)
+    discard(shared, pivots, placed, reps, blocks)
     every = links.unionByName(more).unionByName(members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     final = components(every)
-    discard(links, more, members)
+    discard(more, members)
     own = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
     return own.join(final, own["doc_id"] == final["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
