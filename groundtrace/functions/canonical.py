@@ -79,6 +79,11 @@ def digest_of(value: Column) -> Column:
     return F.sha2(canonical_json_of(value), 256)
 
 
+def value_digest(value: Any) -> str:
+    """The same digest of a Python value."""
+    return hashlib.sha256(canonical_json(value).encode()).hexdigest()
+
+
 def strict_json_code(text: Column) -> Column:
     """Null for JSON that ``strict_load`` reads, else its complaint."""
 

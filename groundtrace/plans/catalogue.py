@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -402,13 +403,16 @@ def q49_gpx_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(read, "track_id", "part_index", "observation_index").select("track_id", "part_index", "observation_index", "lon", "lat", _micros("seconds").alias("us"))
 
 
-@_query()
+@_query("""SELECT CAST(track_id AS VARCHAR) AS track_id, CAST(part_index AS BIGINT) AS part_index, observation_index, record_index,
+    CAST(round_even(lon * 2147483648 / 180, 0) AS BIGINT) AS lon_semicircles, CAST(round_even(lat * 2147483648 / 180, 0) AS BIGINT) AS lat_semicircles, us // 1000000 AS s FROM obs""")
 def q50_fit_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every track written as a FIT activity and read back by the ingestion."""
+    """Every track written as a FIT activity and read back by the ingestion: semicircles and whole seconds."""
     from groundtrace.sources.files import ingest
     from groundtrace.sources.fitwriter import fit_files
 
-    return normalize.observations(ingest(fit_files(assessment(spark, sf_dir).samples)).samples)
+    rows = normalize.observations(ingest(fit_files(assessment(spark, sf_dir).samples)).samples)
+    places = [F.rint(F.col(c) * 2**31 / 180).cast("long").alias(f"{c}_semicircles") for c in ("lon", "lat")]
+    return _long(rows, "part_index", "observation_index", "record_index").select("track_id", "part_index", "observation_index", "record_index", *places, F.col("seconds").cast("long").alias("s"))
 
 
 @_query("""SELECT p.track_id || '/' || p.run AS track_id, target_id, i OR o AS assessable, CASE WHEN NOT (i OR o) THEN NULL WHEN i AND o THEN 'partial' WHEN i THEN 'inside' ELSE 'outside' END AS relation,
@@ -441,3 +445,37 @@ def q53_spatial_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     relations = a.relations.withColumn("relation", F.when(F.col("relation") == "partial", "inside").otherwise(F.col("relation")))
     segments = a.segments.filter("ordinal % 2 = 0")
     return verify.spatial_issues(a, a.fragments, relations).unionByName(verify.entity_issues(a, segments)).groupBy("target_id", "code").agg(F.count("*").alias("pairs"))
+
+
+#: Targets beside the valid ones: a ring that crosses itself, one out of the domain, one that isn't closed, a hole beside its polygon.
+REFUSED = {
+    "X1": ({"type": "Polygon", "coordinates": [[[0, 0], [1, 1], [1, 0], [0, 1], [0, 0]]]}, "TARGET_TOPOLOGY_INVALID"),
+    "X2": ({"type": "Polygon", "coordinates": [[[0, 0], [200, 0], [200, 1], [0, 0]]]}, "TARGET_SCHEMA_INVALID"),
+    "X3": ({"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 1]]]}, "TARGET_RING_NOT_CLOSED"),
+    "X4": ({"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]], [[2, 2], [3, 2], [3, 3], [2, 2]]]}, "TARGET_TOPOLOGY_INVALID"),
+}
+
+
+@_query(f"""SELECT track_id, target_id, 'OK' AS status, relation FROM relations
+    UNION ALL SELECT track_id, target_id, status, NULL FROM (SELECT DISTINCT track_id FROM obs), (VALUES {", ".join(f"('{n}', '{code}')" for n, (_, code) in REFUSED.items())}) AS v(target_id, status)""")
+def q54_target_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid and invalid targets together: an invalid one has its code as the outcome of every pair, the others are told as ever."""
+    bad = spark.createDataFrame([(n, json.dumps(shape)) for n, (shape, _) in REFUSED.items()], "target_id string, geometry string")
+    a = assessment(spark, sf_dir)
+    a.given = a.given.unionByName(bad)
+    return a.relations.select("track_id", "target_id", "status", "relation")
+
+
+@_query("""SELECT r.track_id, r.target_id, relation, completeness, 1 AS areas, coalesce(s.n, 0) AS segments, coalesce(o.n, 0) AS outside, coalesce(g.ends, 0) AS gap_ends, coalesce(m.moving, 0) AS metrics,
+    coalesce(g.gaps, 0) AS gaps, coalesce(m.still, 0) AS stationary, coalesce(m.passed, 0) AS passed FROM relations r
+    LEFT JOIN (SELECT track_id, target_id, count(*) AS n FROM segments GROUP BY ALL) s USING (track_id, target_id) LEFT JOIN (SELECT track_id, target_id, count(*) AS n FROM frags WHERE NOT covered GROUP BY ALL) o USING (track_id, target_id)
+    LEFT JOIN (SELECT track_id, target_id, count(*) AS gaps, count(start_part) + count(end_part) AS ends FROM relevance GROUP BY ALL) g USING (track_id, target_id)
+    LEFT JOIN (SELECT track_id, target_id, count(*) FILTER (NOT stationary) AS moving, count(*) FILTER (stationary) AS still, count(*) FILTER (NOT stationary AND screening = 'passed') AS passed FROM metrics GROUP BY ALL) m USING (track_id, target_id)""")
+def q55_geojson_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exported texts hold, read back from them: features by layer, the relation, and the lists of the metadata."""
+    text = F.from_json("geojson", "features array<struct<properties: struct<layer: string>>>, metadata struct<relation: string, completeness: string, gaps: array<string>, stationary: array<string>, screening_counts: struct<passed: bigint>>")
+    rows = q47_geojson_text(spark, sf_dir).select("track_id", "target_id", text.alias("t"))
+    layer = lambda name: F.size(F.filter("t.features", lambda f: f["properties"]["layer"] == name)).cast("long")
+    counts = {"areas": "target_area", "segments": "target_segment", "outside": "observed_outside", "gap_ends": "gap_endpoint", "metrics": "target_metric_edge"}
+    lists = [F.size(f"t.metadata.{n}").cast("long").alias(n) for n in ("gaps", "stationary")] + [F.coalesce("t.metadata.screening_counts.passed", F.lit(0).cast("long")).alias("passed")]
+    return rows.select("track_id", "target_id", "t.metadata.relation", "t.metadata.completeness", *[layer(v).alias(k) for k, v in counts.items()], *lists)

@@ -112,6 +112,14 @@ def test_export_and_map(spark):
     assert value["metadata"]["relation"] == "partial" and value["features"][1]["geometry"]["coordinates"] == [[0.0, 1.0], [2.0, 1.0]]
     page = mapview.render_map(row.geojson, "a <b>")
     assert "a &lt;b&gt;" in page and page.count("<circle") == 2 and "<b>" not in page
+    assert len(value["metadata"]["gaps"]) == 1 and value["metadata"]["stationary"] == [] and value["metadata"]["screening"] == "speed_screening_disabled"
+    assert len({f["properties"]["assessment"] for f in value["features"]} | {value["metadata"]["assessment"]}) == 1
+    assert "passed: 0, indeterminate: 0, unavailable: 0, not screened: 1, unknown: 0" in page, page[page.index("Speed screening") :][:120]
+    assert "from 1.5 m/s" in page and "/km" in page and 'id="reset"' in page
+    box = [tuple(map(float, p.split())) for p in page.split('<g id="target_area">')[1].split('d="M ')[1].split(" Z")[0].split(" L ")]
+    assert abs((box[1][0] - box[0][0]) - (box[1][1] - box[2][1])) < 0.01  # a square is drawn as one
+    style = lambda **about: mapview._style({"layer": "target_metric_edge"} | about)
+    assert "dash" not in style(speed_mps=3.0, screening="passed") and all(f'dasharray="{d}"' in x for d, x in ((mapview.UNKNOWN_STATE, style(speed_mps=3.0)), (mapview.UNKNOWN_STATE, style(speed_mps=3.0, screening="odd")), (mapview.NO_SPEED, style(screening="passed"))))
     shown = spark.createDataFrame([(row.geojson,), ("{}",), (None,)], "g string").select(mapview.map_html(F.col("g")).alias("m")).select("m.code").collect()
     assert [r.code for r in shown] == [None, "MAP_INVALID_GEOJSON", "MAP_WITHOUT_GEOJSON"]
     bad = json.loads(row.geojson)
