@@ -105,7 +105,9 @@ def screen_point(x: Column, y: Column, box: Column, width: int = 940, height: in
     """A coordinate in a drawing of that size that shows ``box`` (min_x, min_y, max_x, max_y); north is up."""
     wide = F.greatest(box["max_x"] - box["min_x"], F.lit(1e-12))
     high = F.greatest(box["max_y"] - box["min_y"], F.lit(1e-12))
-    return F.struct(((x - box["min_x"]) / wide * width).alias("x"), ((box["max_y"] - y) / high * height).alias("y"))
+    scale = F.least(width / wide, height / high)  # one for both axes, the drawing in the middle
+    left, top = (width - (box["max_x"] - box["min_x"]) * scale) / 2, (height - (box["max_y"] - box["min_y"]) * scale) / 2
+    return F.struct((left + (x - box["min_x"]) * scale).alias("x"), (top + (box["max_y"] - y) * scale).alias("y"))
 
 
 def escape_html(text: Column) -> Column:

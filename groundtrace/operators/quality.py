@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundtrace.functions.geodesy import geodesic_metres
-from groundtrace.functions.scalars import position, utc_is_exact
+from groundtrace.functions.scalars import utc_is_exact
 from groundtrace.operators.normalize import GAP_CODES
 
 #: Metres by which a distance may be off before a comparison with the speed cap counts as undecided.
@@ -160,7 +160,3 @@ def gap_constraints(gaps: DataFrame, policy: Policy) -> DataFrame:
     bound = F.struct(*[F.lit(v).alias(n) for n, v in zip(("min_lon", "min_lat", "max_lon", "max_lat"), WORLD, strict=True)])
     rows = gaps.select("track_id", "gap_index", bound.alias("bound"))
     return rows if policy.include_domain_bounds else rows.limit(0)
-
-
-def whole_edge(part: str = "part_index", edge: str = "edge_index") -> tuple[Column, Column]:
-    return position(part, edge, F.lit(0.0)), position(part, edge, F.lit(1.0))

@@ -39,11 +39,6 @@ def schema_issues(rows: DataFrame, rules: dict[tuple[str, str], Column], *keys:
     return found.filter("b IS NOT NULL").select(*keys, "b.path", "b.rule")
 
 
-def missing(rows: DataFrame, parent: DataFrame, keys: list[str], code: str) -> DataFrame:
-    """Rows that refer to nothing."""
-    return _issue(rows.join(parent, keys, "left_anti"), code)
-
-
 def evidence_issues(observations: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """The canonical track itself: coordinates, indices without holes, records in order and accounted for, gaps at every part boundary."""
     part = W.partitionBy("track_id", "part_index").orderBy("observation_index")

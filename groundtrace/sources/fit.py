@@ -19,6 +19,7 @@ from groundtrace.functions.scalars import in_domain, semicircles, utc_text
 #: Seconds from 1970 to the epoch of FIT times; smaller values than the second are relative times.
 EPOCH, LEAST_TIME = 631_065_600, 0x10000000
 FILE_ID, RECORD, ACTIVITY = 0, 20, 4
+# The published protocol's table of checksums of four bits.
 CRC_NIBBLES = (0x0000, 0xCC01, 0xD801, 0x1400, 0xF001, 0x3C00, 0x2800, 0xE401, 0xA001, 0x6C00, 0x7800, 0xB401, 0x5000, 0x9C01, 0x8801, 0x4400)
 # Fixed values of the format: base type -> (struct code, invalid value).
 BASE_TYPES = {

@@ -8,6 +8,7 @@ WORLD = polygon(rectangle(-180, -90, 180, 90))
 BLOCK = polygon(rectangle(112, 28, 113, 29))
 NEAR = polygon(rectangle(-10, -10, 10, 10))
 
+# Coordinates of published scenarios, so that results can be compared with those told for them; the witnesses of rounding can't be others.
 CASES = [
     ("crossing", [[(112.895, 28.205), (112.905, 28.205), (112.915, 28.205)]], polygon(rectangle(112.9, 28.2, 112.91, 28.21)), "partial", "complete", 1),
     ("inside", [[(112.25, 28.25), (112.5, 28.5), (112.75, 28.75)]], BLOCK, "inside", "complete", 1),

@@ -77,6 +77,22 @@ def test_numbers_and_times(spark):
     assert tuple(row) == ("5:33", 2, "&lt;&amp;&quot;&gt;", "\\u003c/a\\u0026", "A", '$[0]["x"]')
 
 
+def test_places_and_digests_on_columns(spark):
+    import hashlib
+    import math
+
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("min_x", 0.0), ("min_y", 0.0), ("max_x", 2.0), ("max_y", 1.0))])
+    rows = spark.createDataFrame([(0.0, 0.0, 3.0, 1.0, 0.75, 0.25), (1.0, 5.0, 1.5, 1.0, 1.25, 3.0), (0.1, 0.2, 0.1, 0.2, 0.1, 0.2)], "x0 double, y0 double, x1 double, y1 double, x double, y double")
+    fraction = scalars.dominant_fraction(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "x", "y")])
+    found = rows.select(fraction.alias("f"), scalars.ulp(F.col("x0")).alias("u"), scalars.screen_point(F.col("x"), F.col("y"), box).alias("p"), canonical.digest_of(F.struct("x", "y")).alias("d")).collect()
+    assert [r.f for r in found] == [0.25, 0.5, None] and [r.u for r in found] == [math.ulp(v) for v in (0.0, 1.0, 0.1)]
+    a, b = found[0].p, found[1].p
+    assert (b.x - a.x) / 0.5 == pytest.approx((a.y - b.y) / 2.75) and found[0].p.x == pytest.approx(0.75 * 470)
+    assert found[0].d == canonical.value_digest({"x": 0.75, "y": 0.25}) == hashlib.sha256(b'{"x":0.75,"y":0.25}').hexdigest()
+    codes = spark.createDataFrame([('{"a":1}',), ("{",)], "t string").select(canonical.strict_json_code(F.col("t")).alias("c")).collect()
+    assert codes[0].c is None and codes[1].c
+
+
 def test_strict_json():
     for text in ('{"a":1,"a":2}', '{"a":NaN}', '{"a":1e999}', '{"a":1e-999}', '"\\ud800"', "{"):
         with pytest.raises(ValueError):
