@@ -388,18 +388,22 @@ def _gpx_text() -> F.Column:
     return F.format_string('<trkpt lat="%s" lon="%s">%s</trkpt>', F.col("lat").cast("string"), F.col("lon").cast("string"), F.coalesce(F.concat(F.lit("<time>"), "ts_text", F.lit("</time>")), F.lit("")))
 
 
-@_query("SELECT track_id, CAST(part_index AS BIGINT) AS part_index, observation_index, lon, lat, us FROM obs")
-def q49_gpx_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every track written as a GPX document, a segment for each part, and read back by the ingestion."""
-    from groundtrace.sources.files import ingest
-
+def _gpx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, kind, content): every track written as a GPX document, a segment for each part."""
     rows = assessment(spark, sf_dir).observations.withColumn("point", _gpx_text())
     parts = rows.groupBy("track_id", "part_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("observation_index", "point"))), lambda p: p["point"]), "").alias("points"))
     segments = F.transform(F.array_sort(F.collect_list(F.struct("part_index", "points"))), lambda s: F.concat(F.lit("<trkseg>"), s["points"], F.lit("</trkseg>")))
     head = '<?xml version="1.0" encoding="UTF-8"?><gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="groundtrace"><trk>'
     files = parts.groupBy("track_id").agg(F.concat(F.lit(head), F.array_join(segments, ""), F.lit("</trk></gpx>")).alias("text"))
-    files = files.select(F.col("track_id").cast("string").alias("source_id"), F.lit("gpx").alias("kind"), F.col("text").cast("binary").alias("content"))
-    read = normalize.observations(ingest(files).samples)
+    return files.select(F.col("track_id").cast("string").alias("source_id"), F.lit("gpx").alias("kind"), F.col("text").cast("binary").alias("content"))
+
+
+@_query("SELECT track_id, CAST(part_index AS BIGINT) AS part_index, observation_index, lon, lat, us FROM obs")
+def q49_gpx_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every track written as a GPX document and read back by the ingestion."""
+    from groundtrace.sources.files import ingest
+
+    read = normalize.observations(ingest(_gpx_files(spark, sf_dir)).samples)
     return _long(read, "track_id", "part_index", "observation_index").select("track_id", "part_index", "observation_index", "lon", "lat", _micros("seconds").alias("us"))
 
 
@@ -479,3 +483,12 @@ def q55_geojson_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = {"areas": "target_area", "segments": "target_segment", "outside": "observed_outside", "gap_ends": "gap_endpoint", "metrics": "target_metric_edge"}
     lists = [F.size(f"t.metadata.{n}").cast("long").alias(n) for n in ("gaps", "stationary")] + [F.coalesce("t.metadata.screening_counts.passed", F.lit(0).cast("long")).alias("passed")]
     return rows.select("track_id", "target_id", "t.metadata.relation", "t.metadata.completeness", *[layer(v).alias(k) for k, v in counts.items()], *lists)
+
+
+@_query("SELECT CAST(track_id AS VARCHAR) AS source_id, 1 AS tracks, count(DISTINCT part_index) AS segments, count(*) AS points, count(us) AS times FROM obs GROUP BY track_id")
+def q56_gpx_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks, segments, points and times of the written GPX documents, counted without the parser."""
+    from groundtrace.sources.gpx import gpx_counts
+
+    counts = gpx_counts(_gpx_files(spark, sf_dir))
+    return counts.withColumn("tracks", F.col("tracks").cast("int"))

@@ -74,3 +74,11 @@ def parse_gpx(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lossy = lossy.select("source_id", F.col("w.wrong").alias("code")).filter("code IS NOT NULL")
     gone = lossy.select(F.col("source_id").alias("track_id"))
     return failures.unionByName(lossy), samples.drop("wrong").join(gone, "track_id", "left_anti"), parts.select("track_id", "part_ord").join(gone, "track_id", "left_anti")
+
+
+def gpx_counts(files: DataFrame) -> DataFrame:
+    """(source_id, tracks, segments, points, times) of (source_id, content): opening tags counted in the text, without the parser."""
+    text = F.regexp_replace(F.col("content").cast("string"), r"(?s)<!--.*?-->", "")
+    counts = {"tracks": "trk", "segments": "trkseg", "points": "trkpt"}
+    timed = F.regexp_count(text, F.lit(r"(?s)<(?:\w+:)?trkpt\b(?:(?!</(?:\w+:)?trkpt>).)*?<(?:\w+:)?time\b"))
+    return files.select("source_id", *[F.regexp_count(text, F.lit(rf"<(?:\w+:)?{tag}[\s/>]")).cast("long").alias(n) for n, tag in counts.items()], timed.cast("long").alias("times"))

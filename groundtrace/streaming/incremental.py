@@ -26,6 +26,8 @@ def assess_stream(samples: DataFrame, targets: DataFrame, policy: Policy, table:
         batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
         gathered = spark.read.schema(samples.schema).option("recursiveFileLookup", True).parquet(table)
         touched = spark.read.schema(samples.schema).parquet(f"{table}/batch={number}").select("track_id").distinct()
-        sink(Assessment(gathered.join(touched, "track_id", "left_semi"), targets, policy).relations, number)
+        assessed = Assessment(gathered.join(touched, "track_id", "left_semi"), targets, policy)
+        sink(assessed.relations, number)
+        assessed.judged.unpersist()
 
     return samples.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
