@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A group with more than this part of the rows is joined by broadcast: fewer than ``HOT_GROUPS`` groups can be so large.
 HOT_GROUPS = 10_000
+#: A group of no more rows than this is no burden to a task, whatever its part.
+HOT_ROWS = 5_000
 
 _LOCAL: list[str] = []
 
@@ -62,7 +64,7 @@ def attached(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     holds a hash of each of these, of fewer than ``HOT_GROUPS`` in all.
     """
     known = F.xxhash64(*keys)
-    hot = [r[0] for r in groups.filter(F.col("n") > rows.count() // HOT_GROUPS + 1).select(known).collect()]
+    hot = [r[0] for r in groups.filter(F.col("n") > max(rows.count() // HOT_GROUPS, HOT_ROWS)).select(known).collect()]
     if not hot:
         return rows.join(groups.hint("merge"), keys).drop("n")
     rest = rows.filter(~known.isin(hot)).join(groups.filter(~known.isin(hot)).hint("merge"), keys)

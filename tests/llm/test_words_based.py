@@ -180,6 +180,7 @@ def near_copies():
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, members, groups):
     """Neither the size of blocks nor how hot buckets are joined changes a class."""
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(scratch, "HOT_ROWS", 1 if groups > 10_000 else scratch.HOT_ROWS)
     monkeypatch.setattr(scratch, "HOT_GROUPS", groups)
     texts = near_copies()
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
