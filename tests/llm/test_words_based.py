@@ -352,3 +352,20 @@ def test_pooling_is_by_blocks(monkeypatch):
     whole = toxicity.pooled(ids, first, embedding, filters, bias)
     monkeypatch.setattr(toxicity, "BLOCK", 7)
     assert np.allclose(whole, toxicity.pooled(ids, first, embedding, filters, bias), atol=1e-4)
+
+
+def test_toxicity_learns_from_every_word_of_every_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 1 << 17)
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    rng = random.Random(29)
+    texts = []
+    for _ in range(40):
+        own = [f"w{rng.randrange(300)}x" for _ in range(12000)]
+        own[74] = "marker"
+        texts.append(" ".join(own))
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    model, again = toxicity.learn(docs, labels), toxicity.learn(docs.repartition(7), labels)
+    wanted = toxicity.hashed(words.batch_words(pa.array(["marker " + " ".join(f"w{i}x" for i in range(300))])).hash)
+    assert np.isin(wanted, model.words).all()
+    assert np.array_equal(model.embedding, again.embedding) and np.array_equal(model.thresholds, again.thresholds)
