@@ -124,7 +124,8 @@ def split_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """struct ``row`` of all columns of ``docs``, ``lines`` and ``kept`` lines of its text (blank ones too), ``n_lines`` and ``n_deleted`` without blank ones."""
     spans = repeated_spans(docs, min_words).withColumnRenamed("doc_id", "own_id").withColumnRenamed("tie", "own_tie")
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    both = both.join(spans, (F.col("row.doc_id") == F.col("own_id")) & (F.xxhash64("row.text") == F.col("own_tie")), "left")
+    # never by broadcast: where a small table were and a larger one not, figures of the small one would say nothing of the disk that the larger one takes
+    both = both.join(spans.hint("merge"), (F.col("row.doc_id") == F.col("own_id")) & (F.xxhash64("row.text") == F.col("own_tie")), "left")
     empty = F.array().cast("array<struct<low: int, high: int>>")
     both = both.select("row", F.coalesce("spans", empty).alias("spans"), F.coalesce(F.split("row.text", "\n"), F.array().cast("array<string>")).alias("lines"))
     both = both.withColumn("filled", F.filter(F.transform("lines", lambda line, i: F.when(line.rlike("[^\\x20\\x09-\\x0D]"), i)), lambda x: x.isNotNull()))

@@ -292,3 +292,9 @@ def test_queries_equal_their_sql(spark, name):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
     names = ", ".join(sorted(rows.columns))
     assert own == sorted(map(str, db.sql(f"SELECT {names} FROM ({ORACLE_SQL[name]})").fetchall()))
+
+
+def test_line_dedup_joins_documents_alike_at_every_size(spark):
+    docs = spark.createDataFrame([(1, "a b\nc"), (2, "a b")], "doc_id bigint, text string")
+    plan = line_dedup.split_lines(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
