@@ -4,7 +4,8 @@ A document is its sequence of shingles (five words; all of its words where there
 with its number of occurrence. For each of ``FUNCTIONS`` hash functions the ``KEPT`` labelled shingles of
 the least hashes, in the order of the text, make one entry of the sketch: two documents agree in an entry
 if they share these shingles and their order, which falls with edits and with moved blocks. ``ROWS``
-entries make a band. Two documents are candidates if they share a band and agree in ``LEAST_AGREED`` of all entries;
+entries make a band. Two documents are candidates if they share a band and agree in ``LEAST_AGREED`` of all entries,
+and if they have enough words in common by the counts of their words in ``BINS`` bins, which no similar pair fails (``most_common``);
 that is asked of every pair alike, however many others share the band.
 
 Two candidates are similar if an alignment of their words in order matches m of them with m / (a + b - m) at
@@ -45,6 +46,9 @@ ROWS, BANDS = 2, 40
 FUNCTIONS = ROWS * BANDS
 #: Entries in which candidates agree, of all. At J = 0.48 they agree in 18 on average, at J = 0.2 in 3.
 LEAST_AGREED = 8
+#: Bins that a text's words are counted in by their hashes, and the most that a bin holds: what is over is counted together.
+#: More bins bring fewer candidates that turn out not to be similar, none of them loses a similar one.
+BINS, FULL = 256, 255
 #: Words whose sketches are computed at a time. Bounds the temporary arrays, not the texts.
 BLOCK = 1 << 15
 #: Members of a bucket that are compared with as many others at a time.
@@ -117,13 +121,22 @@ def sketches(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def binned(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many words of each row are in each bin, ``FULL`` at most."""
+    out = np.zeros((len(first) - 1, BINS), np.uint8)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at, times = np.unique(row * BINS + (hashes & U(BINS - 1)).astype(np.int64), return_counts=True)
+    out.ravel()[at] = np.minimum(times, FULL)
+    return out
+
+
 def signatures(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of each text: its number of words, 128 bits of its word sequence, its band keys, 16 bits of each entry (zeros where it has no words)."""
+    """Of each text: its number of words, 128 bits of its word sequence, its band keys, 16 bits of each entry, its bins (zeros where it has no words)."""
     words = batch_words(texts)
     n = len(words.first) - 1
     count = np.diff(words.first).astype(np.int64)
     exact, other = np.zeros(n, U), np.zeros(n, U)
-    bands, short = np.zeros((n, BANDS), U), np.zeros((n, FUNCTIONS), np.uint16)
+    bands, short, bins = np.zeros((n, BANDS), U), np.zeros((n, FUNCTIONS), np.uint16), np.zeros((n, BINS), np.uint8)
     low = 0
     while low < n:
         high = max(low + 1, int(np.searchsorted(words.first, words.first[low] + BLOCK, "right")) - 1)
@@ -144,8 +157,9 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, ...]:
                     keys = mix(keys + entries[:, r::ROWS])
                 short[low + some] = (entries >> U(48)).astype(np.uint16)
                 bands[low + some] = mix(keys + np.arange(1, BANDS + 1, dtype=U))
+            bins[low + some] = binned(hashes, first)
         low = high
-    return count, exact, other, bands, short
+    return count, exact, other, bands, short, bins
 
 
 def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -226,10 +240,15 @@ def anchored(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return total
 
 
+def needed(n: int | np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Words that must match in two similar texts of ``n`` words together."""
+    return np.ceil(least * n / (1 + least) - 1e-9)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether the words of two texts match in order for that share of all."""
     n = len(a) + len(b)
-    need = int(np.ceil(least * n / (1 + least) - 1e-9))
+    need = int(needed(n, least))
     if min(len(a), len(b)) < need:
         return False
     values, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -243,14 +262,15 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, exact, other, bands, sketch) of each document that has words."""
+    """(doc_id, n, exact, other, bands, sketch) of each document that has words. ``sketch``: its entries, then its bins."""
 
     def sign(texts: pa.Array) -> pa.Array:
         parts = [signatures(part) for part in slices(texts)]
-        count, exact, other, bands, short = (np.concatenate(column) for column in zip(*parts, strict=True))
+        count, exact, other, bands, short, bins = (np.concatenate(column) for column in zip(*parts, strict=True))
         offsets = pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32))
         keys = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))
-        data = pa.Array.from_buffers(pa.binary(2 * FUNCTIONS), len(short), [None, pa.py_buffer(np.ascontiguousarray(short))]).cast(pa.binary())
+        both = np.concatenate([short.view(np.uint8), bins], axis=1)
+        data = pa.Array.from_buffers(pa.binary(both.shape[1]), len(both), [None, pa.py_buffer(both)]).cast(pa.binary())
         return pa.StructArray.from_arrays([pa.array(count), pa.array(exact.view(np.int64)), pa.array(other.view(np.int64)), keys, data], ["n", "exact", "other", "bands", "sketch"])
 
     kind = "struct<n: bigint, exact: bigint, other: bigint, bands: array<bigint>, sketch: binary>"
@@ -259,10 +279,19 @@ def _signed(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "s.*").filter("doc_id IS NOT NULL AND n > 0")
 
 
-def _entries(sketch: pa.Array) -> np.ndarray:
-    """A row of 16-bit entries for each sketch of a binary array."""
-    data = np.frombuffer(b"".join(sketch.to_pylist()), np.uint16)
-    return data.reshape(len(sketch), FUNCTIONS)
+def _sketched(sketch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A row of 16-bit entries, and one of bins, for each sketch of a binary array."""
+    data = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(len(sketch), 2 * FUNCTIONS + BINS)
+    return np.ascontiguousarray(data[:, : 2 * FUNCTIONS]).view(np.uint16), data[:, 2 * FUNCTIONS :]
+
+
+def most_common(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """So many words at most can match in two texts of these numbers of words and these bins (a row each).
+
+    In a bin no more words match than the lesser count; of what is over in full bins no more than the lesser text has of it.
+    """
+    over = [n - bins.sum(axis=-1, dtype=np.int64) for n, bins in ((n_a, a), (n_b, b))]
+    return np.minimum(a, b).sum(axis=-1, dtype=np.int64) + np.minimum(*over)
 
 
 def _fits(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -274,8 +303,9 @@ def _are_candidates() -> Column:
     """Whether the texts (n_a, sketch_a) and (n_b, sketch_b), which share a band, are candidates."""
 
     def agree(n_a: pa.Array, n_b: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
-        same = (_entries(one) == _entries(two)).sum(axis=1) >= LEAST_AGREED
-        return pa.array(same & _fits(n_a.to_numpy(), n_b.to_numpy()))
+        n_a, n_b, (left, bins_a), (right, bins_b) = n_a.to_numpy(), n_b.to_numpy(), _sketched(one), _sketched(two)
+        same = (left == right).sum(axis=1) >= LEAST_AGREED
+        return pa.array(same & _fits(n_a, n_b) & (most_common(n_a, n_b, bins_a, bins_b) >= needed(n_a + n_b)))
 
     return F.arrow_udf(agree, "boolean")("n_a", "n_b", "sketch_a", "sketch_b")
 
@@ -399,14 +429,15 @@ def block_candidates(band: int, same: bool, left: pa.Scalar, right: pa.Scalar) -
     """Candidates between two blocks of a bucket, the same one perhaps, in the first band that they share."""
     one, two = left.values, right.values
     ids, others = one.field("doc_id").to_numpy(), two.field("doc_id").to_numpy()
-    roots, sizes, entries = two.field("root").to_numpy(), two.field("words").to_numpy(), _entries(two.field("sketch"))
+    roots, sizes, (entries, bins) = two.field("root").to_numpy(), two.field("words").to_numpy(), _sketched(two.field("sketch"))
     out = []
-    for at, (root, size, entry) in enumerate(zip(one.field("root").to_pylist(), one.field("words").to_numpy(), _entries(one.field("sketch")), strict=True)):
+    for at, (root, size, entry, own) in enumerate(zip(one.field("root").to_pylist(), one.field("words").to_numpy(), *_sketched(one.field("sketch")), strict=True)):
         low = at + 1 if same else 0
         hits = low + np.flatnonzero((roots[low:] != root) & _fits(sizes[low:], size))
         agreed = entries[hits] == entry
         first = agreed.reshape(len(hits), BANDS, ROWS).all(axis=2).argmax(axis=1)
         hits = hits[(agreed.sum(axis=1) >= LEAST_AGREED) & (first == band)]
+        hits = hits[most_common(size, sizes[hits], own, bins[hits]) >= needed(size + sizes[hits])]
         out += [{"a": max(ids[at], b), "b": min(ids[at], b)} for b in others[hits].tolist()]
     return out
 

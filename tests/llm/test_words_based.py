@@ -226,6 +226,34 @@ def test_near_duplicates_of_odd_tables(spark):
     assert near_dedup.drop_near_duplicates(odd).count() == 6
 
 
+def test_bins_bound_the_words_in_common():
+    """The bound holds for every pair of texts, full bins included, and no similar pair fails it."""
+    rng = np.random.default_rng(6)
+    for k in range(300):
+        n = int(rng.integers(1, 1500))
+        hashes = words.mix(rng.integers(0, rng.integers(1, 6) if k % 3 == 0 else 500, n).astype(np.uint64))
+        other = np.where(rng.random(n) < rng.random() / 4, words.mix(rng.integers(0, 900, n).astype(np.uint64)), hashes)[rng.integers(0, 9) :]
+        if not len(other):
+            continue
+        bins = [near_dedup.binned(x, np.array([0, len(x)])) for x in (hashes, other)]
+        bound = near_dedup.most_common(n, len(other), *bins)[0]
+        values, inverse = np.unique(np.concatenate([hashes, other]), return_inverse=True)
+        assert bound >= np.minimum(np.bincount(inverse[:n], minlength=len(values)), np.bincount(inverse[n:], minlength=len(values))).sum()
+        assert bound >= near_dedup.needed(n + len(other)) or not near_dedup.similar(hashes, other)
+
+
+def test_texts_around_a_passage_are_not_compared_in_pairs(spark, monkeypatch):
+    """A passage of two thirds of each text puts them into common buckets; their number of alignments doesn't grow with its square."""
+    rng = random.Random(13)
+    passage, compared, verified = prose(rng, 100, 10**6), [], near_dedup._verified
+    texts = [f"{prose(rng, 25, 10**6)} {passage} {prose(rng, 25, 10**6)}" for _ in range(60)]
+    texts.append(texts[7].replace(plain(texts[7])[40], "changed"))
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, own: compared.append(pairs.count()) or verified(pairs, own))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {**{i: i for i in range(60)}, 60: 7}
+    assert sum(compared) < len(texts)
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7)]
     found = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
