@@ -397,3 +397,28 @@ def test_toxicity_learns_from_every_word_of_every_row(spark, monkeypatch):
     wanted = toxicity.hashed(words.batch_words(pa.array(["marker " + " ".join(f"w{i}x" for i in range(300))])).hash)
     assert np.isin(wanted, model.words).all()
     assert np.array_equal(model.embedding, again.embedding) and np.array_equal(model.thresholds, again.thresholds)
+
+
+def test_shards_are_stored_in_parts(spark, monkeypatch):
+    """No stored row is as large as a shard, and parts change nothing that is learned."""
+    monkeypatch.setattr(toxicity, "SHARD", 1 << 14)
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    rng = random.Random(31)
+    docs = documents(spark, [" ".join(f"w{rng.randrange(300)}x" for _ in range(rng.randrange(400))) for _ in range(200)])
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    materialise, models, stored = toxicity.materialise, [], []
+
+    def watched(df, label, **options):
+        out = materialise(df, label, **options)
+        if label in ("shards", "numbered"):
+            stored.append([(r.shard, len(r.ids)) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(toxicity, "materialise", watched)
+    for part in (toxicity.PART, 500):
+        monkeypatch.setattr(toxicity, "PART", part)
+        models.append(toxicity.learn(docs, labels))
+    assert all(len(rows) == len({shard for shard, _ in rows}) > 1 for rows in stored[:2])
+    assert all(len(rows) > 10 and max(size for _, size in rows) <= 500 * 4 * toxicity.COLUMNS for rows in stored[2:])
+    assert all(sum(size for _, size in rows) == sum(size for _, size in stored[0]) for rows in stored)
+    assert np.array_equal(models[0].embedding, models[1].embedding) and np.array_equal(models[0].thresholds, models[1].thresholds)
