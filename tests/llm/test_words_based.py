@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -422,3 +424,39 @@ def test_shards_are_stored_in_parts(spark, monkeypatch):
     assert all(len(rows) > 10 and max(size for _, size in rows) <= 500 * 4 * toxicity.COLUMNS for rows in stored[2:])
     assert all(sum(size for _, size in rows) == sum(size for _, size in stored[0]) for rows in stored)
     assert np.array_equal(models[0].embedding, models[1].embedding) and np.array_equal(models[0].thresholds, models[1].thresholds)
+
+
+def test_learning_leaves_little_on_disk(spark, monkeypatch):
+    """Words are stored packed, training needs one table of them, and shuffle files go with their query, not with the driver's garbage."""
+    monkeypatch.setattr(toxicity, "SHARD", 1 << 15)
+    monkeypatch.setattr(toxicity, "EPOCHS", 3)
+    rng = random.Random(37)
+    docs = documents(spark, [" ".join(f"w{rng.randrange(5000)}x" for _ in range(1500)) for _ in range(120)])
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    blocks, folder = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager(), Path(scratch.scratch_dir(spark).removeprefix("file://"))
+    there, materialise, trained, sizes, kept = set(folder.iterdir()), toxicity.materialise, toxicity._trained, {}, []
+
+    def shuffled():
+        return {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+
+    def stored(df, label, **options):
+        out = materialise(df, label, **options)
+        sizes[label] = sum(x.stat().st_size for new in folder.glob(f"{label}-*") if new not in there for x in new.glob("*.parquet"))
+        return out
+
+    def train(shards, number, n):
+        kept.extend([number, *(x.name.split("-")[0] for x in folder.iterdir() if x not in there)])
+        return trained(shards, number, n)
+
+    monkeypatch.setattr(toxicity, "materialise", stored)
+    monkeypatch.setattr(toxicity, "_trained", train)
+    before = shuffled()
+    assert toxicity.learn(docs, labels) is not None
+    n = 1500 * sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(120))
+    assert kept[0] > 1 and kept[1:] == ["numbered"] and set(folder.iterdir()) == there
+    assert all(sizes[k] < 6 * n for k in ("labelled", "shards", "numbered")), (n, sizes)
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
