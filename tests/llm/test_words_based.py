@@ -384,6 +384,16 @@ def test_pooling_is_by_blocks(monkeypatch):
     assert np.allclose(whole, toxicity.pooled(ids, first, embedding, filters, bias), atol=1e-4)
 
 
+def test_words_are_numbered_in_order():
+    rng = np.random.default_rng(41)
+    for n in (0, 1, 2, 500):
+        known = np.unique(np.concatenate([rng.integers(0, 1 << 32, n), 7 * (1 << 20) + rng.integers(0, 4 * n + 1, n), [0, 2**32 - 1][:n]]).astype(np.uint32))
+        asked = np.concatenate([known, known + np.uint32(1), known - np.uint32(1), rng.integers(0, 1 << 32, 100, np.uint32)])
+        place = {x: k for k, x in enumerate(known.tolist(), 1)}
+        got = toxicity.numbered(known, asked.reshape(-1, 1), toxicity.spread(known))
+        assert got.shape == (len(asked), 1) and got.ravel().tolist() == [place.get(x, 0) for x in asked.tolist()]
+
+
 def test_toxicity_learns_from_every_word_of_every_row(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SHARD", 1 << 17)
     monkeypatch.setattr(toxicity, "EPOCHS", 2)
