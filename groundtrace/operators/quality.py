@@ -9,12 +9,14 @@ import math
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundtrace.functions.geodesy import geodesic_metres
+from groundtrace.functions.canonical import exact_seconds
+from groundtrace.functions.geodesy import inverse_metres
 from groundtrace.functions.scalars import utc_is_exact
 from groundtrace.operators.normalize import GAP_CODES
 
@@ -58,30 +60,37 @@ def stationary() -> Column:
     return (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
 
 
-def _exactly(cap: float) -> Column:
-    """The decision with rational numbers, for times with more digits than the decimals hold and for near ties."""
+def _exact_decision(start: str, end: str, metres: float | None, cap: float) -> str:
+    """The decision with rational numbers."""
+    dt = exact_seconds(end) - exact_seconds(start)
+    if dt <= 0:
+        return "SPEED_TIME_NONINCREASING"
+    if metres is None:
+        return "SPEED_DISTANCE_UNAVAILABLE"
+    over = Fraction(metres) - Fraction(cap) * dt
+    return REJECTED if over > Fraction(GUARD_M) else "SPEED_NUMERICALLY_INDETERMINATE" if over > -Fraction(GUARD_M) else "ADMITTED"
 
-    def decide(start: pa.Array, end: pa.Array, metres: pa.Array) -> pa.Array:
-        from groundtrace.functions.canonical import exact_seconds
 
-        out = []
-        for a, b, d in zip(start.to_pylist(), end.to_pylist(), metres.to_pylist(), strict=True):
-            if a is None or b is None:
-                out.append(None)
-                continue
-            dt = exact_seconds(b) - exact_seconds(a)
-            if dt <= 0:
-                out.append("SPEED_TIME_NONINCREASING")
-            elif d is None:
-                out.append("SPEED_DISTANCE_UNAVAILABLE")
-            else:
-                over = Fraction(d) - Fraction(cap) * dt
-                out.append(REJECTED if over > Fraction(GUARD_M) else "SPEED_NUMERICALLY_INDETERMINATE" if over > -Fraction(GUARD_M) else "ADMITTED")
-        return pa.array(out, pa.string())
+def _screened(cap: float) -> Column:
+    """struct(metres, exactly): the distance, and the decision with rational numbers for times with more digits than the decimals hold and for near ties.
 
-    near = F.abs(F.col("distance_m") - cap * F.col("dt")) <= 2 * GUARD_M + 1e-12 * (F.abs(F.col("distance_m")) + cap * F.abs(F.col("dt")))
-    hard = F.col("seconds0").isNotNull() & F.col("seconds1").isNotNull() & (near | ~utc_is_exact(F.col("ts0")) | ~utc_is_exact(F.col("ts1")))
-    return F.arrow_udf(decide, "string")(F.when(hard, F.col("ts0")), F.when(hard, F.col("ts1")), F.col("distance_m"))
+    One call, so that a task needs one Python worker for it; a filter on the decision doesn't compute it again.
+    """
+    kind = pa.struct([("metres", pa.float64()), ("exactly", pa.string())])
+
+    def screen(x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array, start: pa.Array, end: pa.Array, dt: pa.Array, inexact: pa.Array) -> pa.Array:
+        metres = inverse_metres(*(side.to_numpy(zero_copy_only=False) for side in (x0, y0, x1, y1)))
+        known, span = np.isfinite(metres), dt.to_numpy(zero_copy_only=False).astype(float)
+        with np.errstate(invalid="ignore"):
+            near = np.abs(metres - cap * span) <= 2 * GUARD_M + 1e-12 * (np.abs(metres) + cap * np.abs(span))
+        told = np.full(len(metres), None, object)
+        for row in np.flatnonzero(((known & near) | inexact.to_numpy(zero_copy_only=False).astype(bool)) & ~np.isnan(span)).tolist():
+            told[row] = _exact_decision(start[row].as_py(), end[row].as_py(), float(metres[row]) if known[row] else None, cap)
+        return pa.StructArray.from_arrays([pa.array(metres, mask=~known), pa.array(told, pa.string())], fields=list(kind))
+
+    inexact = F.coalesce(~utc_is_exact(F.col("ts0")) | ~utc_is_exact(F.col("ts1")), F.lit(False))
+    call = F.arrow_udf(screen, "struct<metres: double, exactly: string>").asNondeterministic()
+    return call("x0", "y0", "x1", "y1", "ts0", "ts1", "dt", inexact)
 
 
 def decisions(edges: DataFrame, policy: Policy) -> DataFrame:
@@ -90,7 +99,7 @@ def decisions(edges: DataFrame, policy: Policy) -> DataFrame:
     rows = edges.withColumn("dt", (F.col("seconds1") - F.col("seconds0")).cast("double"))
     if cap is None:
         return rows.withColumn("distance_m", F.lit(None).cast("double")).withColumn("decision", F.lit("SPEED_RULE_DISABLED"))
-    rows = rows.withColumn("distance_m", geodesic_metres(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).withColumn("exactly", _exactly(float(cap)))
+    rows = rows.withColumn("screened", _screened(float(cap))).withColumns({"distance_m": F.col("screened.metres"), "exactly": F.col("screened.exactly")}).drop("screened")
     decision = (
         F.when(F.col("ts0").isNull() | F.col("ts1").isNull(), "SPEED_TIME_MISSING")
         .when(F.col("seconds0").isNull() | F.col("seconds1").isNull(), "SPEED_TIME_UNSUPPORTED")

@@ -5,7 +5,7 @@ import json
 from helpers import assess, polygon, rectangle
 
 from groundtrace.functions.canonical import canonical_json
-from groundtrace.operators import export
+from groundtrace.operators import export, quality
 
 SQUARE = polygon(rectangle(0, 0, 2, 2))
 TIMED = [[(-1, 1, "2024-01-01T00:00:00Z"), (1, 1, "2024-01-03T00:00:00Z"), None, (1, 1.5, "2024-01-04T00:00:00Z"), (1, 1.5, "2024-01-04T00:00:10Z"), (3, 1.5)]]
@@ -15,6 +15,12 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_filter_on_the_decision_takes_one_python_call(spark):
+    a = assess(spark, TIMED, SQUARE, cap=10.0)
+    assert plan(quality.excluded_intervals(a.decided)).count("ArrowEvalPython") == 1
+    assert plan(a.usable).count("ArrowEvalPython") == 1
+
+
 def test_features_never_pass_through_python_as_a_list(spark):
     a = assess(spark, TIMED, SQUARE, cap=10.0)
     text = export.geojson(a, metric_mode="speed_mps")
