@@ -354,7 +354,7 @@ def q44_reference_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT track_id, code FROM (SELECT DISTINCT track_id FROM intervals WHERE track_id % 3 = 0), (VALUES ('EDGE_UNACCOUNTED'), ('USABLE_INTERVALS_MISMATCH')) AS v(code)")
 def q45_claims_vs_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable intervals from which every third track's first one is taken away: the verifier names just these tracks."""
-    a = assessment(spark, sf_dir).persist("decided")
+    a = assessment(spark, sf_dir).persist("decided", "gaps")
     true = quality.usable_intervals(a.decided.drop("run"))
     first = true.groupBy("track_id").agg(F.min(F.struct("part_index", "low")).alias("m")).filter("track_id % 3 = 0").select("track_id", "m.part_index", "m.low")
     claimed = true.join(first, ["track_id", "part_index", "low"], "left_anti").select("track_id", "part_index", "low", "high")

@@ -5,7 +5,7 @@ import json
 from helpers import assess, polygon, rectangle
 
 from groundtrace.functions.canonical import canonical_json
-from groundtrace.operators import export, quality
+from groundtrace.operators import export, quality, verify
 
 SQUARE = polygon(rectangle(0, 0, 2, 2))
 TIMED = [[(-1, 1, "2024-01-01T00:00:00Z"), (1, 1, "2024-01-03T00:00:00Z"), None, (1, 1.5, "2024-01-04T00:00:00Z"), (1, 1.5, "2024-01-04T00:00:10Z"), (3, 1.5)]]
@@ -21,6 +21,13 @@ def test_a_filter_on_the_decision_takes_one_python_call(spark):
     assert plan(a.usable).count("ArrowEvalPython") == 1
 
 
+def test_a_difference_reads_each_table_once_and_counts_repeats(spark):
+    one, two = spark.createDataFrame([(1, None), (1, None), (2, 5), (3, 1)], "track_id int, v int"), spark.createDataFrame([(1, None), (2, 5), (3, 1), (4, 1)], "v_id int, v int").withColumnRenamed("v_id", "track_id")
+    found = verify.differences(one, two, "CODE")
+    assert plan(found).count("LogicalRDD") + plan(found).count("LocalRelation") == 2
+    assert {tuple(r) for r in found.collect()} == {(1, "CODE"), (4, "CODE")}
+
+
 def test_features_never_pass_through_python_as_a_list(spark):
     a = assess(spark, TIMED, SQUARE, cap=10.0)
     text = export.geojson(a, metric_mode="speed_mps")
