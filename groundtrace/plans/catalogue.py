@@ -203,10 +203,7 @@ def q23_outside_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT target_id, count(*) AS edges, CAST(0 AS BIGINT) AS broken FROM pairs GROUP BY target_id")
 def q24_fragment_tiling_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assessment(spark, sf_dir).fragments
-    edges = rows.groupBy("target_id").agg(F.count_distinct("track_id", "part_index", "edge_index").alias("edges"))
-    broken = verify.tiling_issues(rows).groupBy("target_id").agg(F.count("*").alias("broken"))
-    return edges.join(broken, "target_id", "left").fillna(0, ["broken"])
+    return verify.tiling(assessment(spark, sf_dir).fragments).groupBy("target_id").agg(F.count("*").alias("edges"), F.count_if("broken").alias("broken"))
 
 
 @_query("SELECT track_id, target_id, CAST(part_index AS BIGINT) AS part_index, edge_index, covered FROM still")

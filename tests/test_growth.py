@@ -6,7 +6,9 @@ from helpers import assess, polygon, rectangle
 
 from groundtrace.functions.canonical import canonical_json
 from groundtrace.operators import export, quality, verify
+from groundtrace.plans import catalogue
 
+SMALL = "/root/testdata/sf0.001"
 SQUARE = polygon(rectangle(0, 0, 2, 2))
 TIMED = [[(-1, 1, "2024-01-01T00:00:00Z"), (1, 1, "2024-01-03T00:00:00Z"), None, (1, 1.5, "2024-01-04T00:00:00Z"), (1, 1.5, "2024-01-04T00:00:10Z"), (3, 1.5)]]
 
@@ -21,6 +23,10 @@ def test_a_filter_on_the_decision_takes_one_python_call(spark):
     assert plan(a.usable).count("ArrowEvalPython") == 1
 
 
+def test_fragments_are_clipped_once_for_the_tiling_check(spark):
+    assert plan(catalogue.q24_fragment_tiling_check(spark, SMALL)).count("MapInArrow") == 1
+
+
 def test_a_difference_reads_each_table_once_and_counts_repeats(spark):
     one, two = spark.createDataFrame([(1, None), (1, None), (2, 5), (3, 1)], "track_id int, v int"), spark.createDataFrame([(1, None), (2, 5), (3, 1), (4, 1)], "v_id int, v int").withColumnRenamed("v_id", "track_id")
     found = verify.differences(one, two, "CODE")
