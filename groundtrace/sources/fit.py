@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from groundtrace.functions.scalars import in_domain, semicircles, utc_text
 #: Seconds from 1970 to the epoch of FIT times; smaller values than the second are relative times.
 EPOCH, LEAST_TIME = 631_065_600, 0x10000000
 FILE_ID, RECORD, ACTIVITY = 0, 20, 4
+#: Files whose records are Python objects at the same time.
+FILES_AT_ONCE = 64
 # The published protocol's table of checksums of four bits.
 CRC_NIBBLES = (0x0000, 0xCC01, 0xD801, 0x1400, 0xF001, 0x3C00, 0x2800, 0xE401, 0xA001, 0x6C00, 0x7800, 0xB401, 0x5000, 0x9C01, 0x8801, 0x4400)
 # Fixed values of the format: base type -> (struct code, invalid value).
@@ -139,16 +142,22 @@ def fit_records(content: Column) -> Column:
     """struct(code, records) of a file's bytes."""
     kind = pa.struct([("code", pa.string()), ("records", pa.list_(pa.struct(_FIELDS)))])
 
+    def one(data: bytes | None) -> dict | None:
+        try:
+            return {"code": None, "records": decode(bytes(data))} if data is not None else None
+        except FitError as problem:
+            return {"code": problem.args[0], "records": None}
+
     def read(files: pa.Array) -> pa.Array:
-        out = []
-        for data in files.to_pylist():
-            try:
-                out.append({"code": None, "records": decode(bytes(data))} if data is not None else None)
-            except FitError as problem:
-                out.append({"code": problem.args[0], "records": None})
-        return pa.array(out, kind)
+        return in_parts(files, lambda some: pa.array([one(data) for data in some], kind), kind)
 
-    return F.arrow_udf(read, _SQL)(content)
+    return F.arrow_udf(read, _SQL).asNondeterministic()(content)  # so that a filter on the code doesn't decode again
+
+
+def in_parts(values: pa.Array, work: Callable[[list], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``work`` of a few values at a time: only these are Python objects at once."""
+    found = [work(values.slice(at, FILES_AT_ONCE).to_pylist()) for at in range(0, len(values), FILES_AT_ONCE)]
+    return pa.concat_arrays([pa.array([], kind), *found])
 
 
 def message_counts(content: Column) -> Column:
@@ -170,12 +179,18 @@ def message_counts(content: Column) -> Column:
 
 def parse_fit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(failures: source_id, code; samples) of (source_id, content). A record that can't be an observation fails its file."""
+
+    def wrong(r: Column) -> Column:
+        lon, lat = semicircles(r["lon"]), semicircles(r["lat"])
+        placed = r["lon"].isNotNull() & r["lat"].isNotNull()
+        return F.when(placed & ~in_domain(lon, lat), "POSITION_OUT_OF_RANGE").when(placed & ((r["distance"] < 0) | (F.coalesce(r["enhanced_speed"], r["speed"]) < 0)), "INVALID_OBSERVATION_VALUE")
+
     rows = files.select("source_id", fit_records(F.col("content")).alias("f"))
-    each = rows.filter("f.code IS NULL").select(F.col("source_id").alias("track_id"), F.posexplode_outer("f.records").alias("record_index", "r")).filter("r IS NOT NULL")
+    rows = rows.withColumn("code", F.coalesce("f.code", F.get(F.filter(F.transform("f.records", wrong), lambda c: c.isNotNull()), F.lit(0))))
+    each = rows.filter("code IS NULL").select(F.col("source_id").alias("track_id"), F.posexplode_outer("f.records").alias("record_index", "r")).filter("r IS NOT NULL")
     lon, lat = semicircles(F.col("r.lon")), semicircles(F.col("r.lat"))
     placed = F.col("r.lon").isNotNull() & F.col("r.lat").isNotNull()
     relative = F.col("r.timestamp") < LEAST_TIME
-    wrong = F.when(placed & ~in_domain(lon, lat), "POSITION_OUT_OF_RANGE").when(placed & ((F.col("r.distance") < 0) | (F.coalesce("r.enhanced_speed", "r.speed") < 0)), "INVALID_OBSERVATION_VALUE")
     samples = each.select(
         "track_id", F.lit(0).alias("part_ord"), F.col("record_index").cast("long").alias("sample_ord"), F.col("record_index").cast("long").alias("record_index"),
         F.when(placed, lon).alias("lon"), F.when(placed, lat).alias("lat"),
@@ -183,9 +198,6 @@ def parse_fit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(placed & ~relative, F.replace(utc_text((F.col("r.timestamp") + EPOCH) * 1_000_000), F.lit(".000000"), F.lit(""))).alias("ts_text"),
         F.when(placed & relative, "TIMESTAMP_RELATIVE").alias("ts_code"),
         F.when(placed, F.coalesce("r.enhanced_altitude", "r.altitude")).alias("altitude_m"), F.when(placed, F.col("r.distance")).alias("distance_m"),
-        F.when(placed, F.coalesce("r.enhanced_speed", "r.speed")).alias("observed_speed_mps"), wrong.alias("wrong"),
+        F.when(placed, F.coalesce("r.enhanced_speed", "r.speed")).alias("observed_speed_mps"),
     )
-    failed = rows.select("source_id", F.col("f.code").alias("code")).filter("code IS NOT NULL")
-    broken = samples.groupBy(F.col("track_id").alias("source_id")).agg(F.min(F.when(F.col("wrong").isNotNull(), F.struct("record_index", "wrong"))).alias("w")).select("source_id", F.col("w.wrong").alias("code")).filter("code IS NOT NULL")
-    failures = failed.unionByName(broken)
-    return failures, samples.drop("wrong").join(failures.select(F.col("source_id").alias("track_id")), "track_id", "left_anti")
+    return rows.select("source_id", "code").filter("code IS NOT NULL"), samples

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundtrace.functions.scalars import SEMICIRCLE, utc_seconds
-from groundtrace.sources.fit import ACTIVITY, EPOCH, FILE_ID, RECORD, crc16
+from groundtrace.sources.fit import ACTIVITY, EPOCH, FILE_ID, RECORD, crc16, in_parts
 
 #: Fields of a written record: number, size, base type.
 RECORD_LAYOUT = ((253, 4, 0x86), (0, 4, 0x85), (1, 4, 0x85))
@@ -46,7 +46,7 @@ def fit_files(samples: DataFrame) -> DataFrame:
     )
 
     def write(tracks: pa.Array) -> pa.Array:
-        return pa.array([activity((r["time"], r["lat"], r["lon"]) for r in rows) for rows in tracks.to_pylist()], pa.binary())
+        return in_parts(tracks, lambda some: pa.array([activity((r["time"], r["lat"], r["lon"]) for r in rows) for rows in some], pa.binary()), pa.binary())
 
     whole = samples.groupBy("track_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return whole.select(F.col("track_id").cast("string").alias("source_id"), F.lit("fit").alias("kind"), F.arrow_udf(write, "binary")("rows").alias("content"))

@@ -2,11 +2,13 @@
 
 import json
 
+import pyarrow as pa
 from helpers import assess, polygon, rectangle
 
 from groundtrace.functions.canonical import canonical_json
 from groundtrace.operators import export, quality, verify
 from groundtrace.plans import catalogue
+from groundtrace.sources import fit
 
 SMALL = "/root/testdata/sf0.001"
 SQUARE = polygon(rectangle(0, 0, 2, 2))
@@ -46,3 +48,22 @@ def test_features_never_pass_through_python_as_a_list(spark):
     assert [r.layer for r in export.features(a, metric_mode="speed_mps").orderBy("layer_rank", "place").collect()] == layers
     still = value["metadata"]["stationary"]
     assert [s["duration_s"] for s in still] == [10.0] and value["metadata"]["metric_counts"]["stationary"] == 1
+
+
+def test_files_are_python_objects_in_small_numbers(monkeypatch):
+    monkeypatch.setattr(fit, "FILES_AT_ONCE", 2)
+    seen = []
+
+    def work(some):
+        seen.append(len(some))
+        return pa.array([v * 2 for v in some], pa.int64())
+
+    assert fit.in_parts(pa.array([1, 2, 3, 4, 5]), work, pa.int64()).to_pylist() == [2, 4, 6, 8, 10]
+    assert seen == [2, 2, 1] and fit.in_parts(pa.array([], pa.int64()), work, pa.int64()).to_pylist() == []
+
+
+def test_a_file_is_decoded_once(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x"))], "source_id string, content binary")
+    failures, samples = fit.parse_fit(files)
+    assert plan(samples).count("read(content") == 1 and plan(failures).count("read(content") == 1
+    assert [tuple(r) for r in failures.collect()] == [("a", "MALFORMED_SOURCE")]
